@@ -1,0 +1 @@
+quality = near_duplicates = secrets = mix = tokens = None
