@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, embeddings, mixing, quality, secrets, simhash
+from . import audio, bpe, ctw, embeddings, mixing, quality, secrets, simhash
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_ctw_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op8_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
