@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, ctw, embeddings, mixing, quality, secrets, simhash
+from . import audio, bpe, ctw, embeddings, mixing, quality, secrets, simhash, suffix
 from .common import documents
 
 
@@ -48,6 +48,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in list(globals().items()) if k[:2] == "op" and callable(f)}
 #: None of these can be put as plain SQL with whole results: they are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
