@@ -1 +1,46 @@
-quality = near_duplicates = secrets = mix = tokens = None
+"""The pipeline's stages: (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, mixing, secrets as scans, simhash
+from . import quality as classifier
+
+#: Documents that score lower than this are rejected (the classifier's even odds).
+QUALITY = 0.5
+#: Word shingles and similarity of near duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trains on the labelled rows of this stage's input and keeps what scores well."""
+    net = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classifier.keep(docs, net, QUALITY)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of every group of near duplicates. Rows of one id are one document."""
+    groups = simhash.similar(docs, SIMILARITY, SHINGLE)
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark; n_chars follows."""
+    return scans.redact(docs.select("doc_id", "text", "lang", "source", "n_chars")).withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it. Rows that share an id share its copies evenly, rounded down."""
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("_copies")).where("_copies > 0").select(F.col("doc_id").alias("_id"), "_copies")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text: doc_id, n_tokens and checksums."""
+    import public_tokenizers
+
+    return bpe.round_trip(docs, bpe.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
