@@ -1,0 +1,287 @@
+"""Markdown papers to chunks: blocks, title, sections, cleaning and packing, one document at a time in the workers.
+
+Each document is independent, so nothing is shuffled. Blocks are labelled by a list of rules; a section walk over the labels
+keeps the abstract and the body with their heading paths; a packer joins units into chunks near the target size and
+repeats the heading path in each. A document without a usable title, or with two equally good ones, comes out as a row
+with an error and no chunks, as do null texts.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import headings as H
+
+CHUNK_SIZE, OVERLAP = 2200, 100
+_CJK = "一-鿿"
+
+
+def squeeze(text: str) -> str:
+    return " ".join(text.split())
+
+
+def key_of(heading: str) -> str:
+    """Lower-case words without numbering; letters set apart by blanks are joined."""
+    words = re.findall(r"[A-Za-z0-9]+", H.NUMBERING.sub("", heading))
+    joined = re.sub(r"\b(?:[a-z0-9] ){2,}[a-z0-9]\b", lambda m: m[0].replace(" ", ""), " ".join(words).lower())
+    return joined
+
+
+def normal_title(title: str) -> str:
+    return squeeze(re.sub(rf"[^0-9a-z{_CJK}\s]", " ", title.lower()))
+
+
+def document_id(title: str) -> str:
+    name = normal_title(title)
+    slug = re.sub(r"[^0-9a-z]+", "-", name).strip("-")[:48].strip("-")
+    head = hashlib.sha1(name.encode()).hexdigest()[:8]
+    return f"{slug}-{head}" if slug else head
+
+
+@dataclass
+class Block:
+    kind: str  # heading, text or image
+    text: str
+    level: int = 0
+
+
+def blocks(content: str) -> list[Block]:
+    out: list[Block] = []
+    lines: list[str] = []
+
+    def close():
+        if text := squeeze(" ".join(lines)):
+            out.append(Block("text", text))
+        lines.clear()
+
+    for line in map(str.strip, content.splitlines()):
+        heading = H.HEADING.match(line)
+        if heading or not line or H.IMAGE.match(line):
+            close()
+        if heading:
+            out.append(Block("heading", squeeze(heading[2]), len(heading[1])))
+        elif H.IMAGE.match(line):
+            out.append(Block("image", line))
+        elif line:
+            lines.append(line)
+    close()
+    return out
+
+
+def is_masthead(text: str) -> bool:
+    key = key_of(text)
+    letters = re.sub(r"[^A-Za-z ]", "", text).split()
+    spaced = len(letters) >= 5 and all(len(x) == 1 for x in letters)
+    return (spaced and key not in H.SECTIONS | H.SUMMARY | H.TAIL | H.DROPPED) or key in H.NOT_TITLES or key in H.MASTHEADS or key.startswith(("journal of ", "a journal of "))
+
+
+def is_section(text: str) -> bool:
+    key = key_of(text)
+    return key in H.SECTIONS | H.DROPPED | H.SUMMARY | H.TAIL or bool(re.match(r"^\s*\d+(\.\d+)*[.)]?\s", text)) or key.startswith("received ")
+
+
+def select_title(found: list[Block]) -> int:
+    """The block of the title; ValueError if there is none or two are as good."""
+    first_section = next((i for i, b in enumerate(found) if b.kind == "heading" and is_section(b.text) and not is_masthead(b.text)), len(found))
+    prose = next((i for i, b in enumerate(found) if b.kind == "text" and is_prose(b.text)), len(found))
+    ratings: dict[str, tuple[int, int]] = {}
+    for i, b in enumerate(found):
+        if b.kind != "heading" or b.level != 1 or is_section(b.text) or is_masthead(b.text) or (i > prose and ratings):
+            continue
+        words = re.findall(r"[A-Za-z0-9]+", b.text)
+        rating = min(len(words), 8) + min(len(b.text) // 30, 4) + (2 if re.search("[a-z]", b.text) else 0) + (4 if i < first_section else -6)
+        name = re.sub(r"[^a-z0-9]", "", b.text.lower())
+        if name not in ratings or rating > -ratings[name][0]:
+            ratings[name] = (-rating, i)
+    best = sorted(ratings.values())
+    if not best or -best[0][0] < 5:
+        raise ValueError("no level-1 title heading")
+    if len(best) > 1 and best[1][0] - best[0][0] < 2:
+        raise ValueError("ambiguous level-1 title headings")
+    return best[0][1]
+
+
+def is_prose(text: str) -> bool:
+    return (len(re.findall(r"\b\w+\b", text)) >= 35 or len(text) >= 240) and bool(re.search("[.!?;:]", text)) and not is_noise(text)
+
+
+def is_noise(text: str) -> bool:
+    """Labels, author lists, affiliations and publisher's notes before the body."""
+    low = text.lower()
+    if re.fullmatch(r"(?:page\s+)?\d+|\(?[a-z]\)?[.,]?", low) or H.EMAIL.search(text):
+        return True
+    if any(x in low for x in H.METADATA) or re.match(r"(?:received|accepted|cite (?:as|this)|authors?\s*:|title\s*:)", low):
+        return True
+    places = sum(x in low for x in H.PLACES)
+    if places and (len(text) <= 500 or places > 1):
+        return True
+    names = [x.split() for x in re.split(r"[,*†‡§]|\sand\s", text) if x.strip()]
+    capital = [n for n in names if len(n) <= 5 and sum(w[:1].isupper() for w in n) >= max(1, len(n) - 1)]
+    return len(text) <= 500 and ":" not in text and len(names) >= 2 and len(capital) == len(names) and not text.endswith(".")
+
+
+def is_markup(text: str) -> bool:
+    """Table and diagram bodies."""
+    low = text.lower()
+    return bool(re.search(r"</?t(?:able|r|d|h)\b", low)) or (text.startswith("|") and text.count("|") > 1) or low.startswith("graph td") or text.count("-->") > 2
+
+
+def visible(text: str) -> str:
+    return squeeze(re.sub(r"(?is)<details\b.*?</details>|```mermaid.*?```", " ", text))
+
+
+@dataclass
+class Section:
+    path: tuple[str, ...]
+    parts: list[str] = field(default_factory=list)
+
+
+def sections(found: list[Block], title: int) -> tuple[list[str], list[Section]]:
+    """Abstract parts (summaries included) and body sections."""
+    abstract: list[str] = []
+    body: list[Section] = []
+    stack: list[tuple[int, str]] = []
+    mode, name = "before", re.sub(r"[^a-z0-9]", "", found[title].text.lower())
+    for b in found[title + 1 :]:
+        key = key_of(b.text) if b.kind == "heading" else ""
+        if b.kind == "heading":
+            if re.sub(r"[^a-z0-9]", "", b.text.lower()) == name:
+                abstract, body, stack, mode = [], [], [], "before"
+            elif key in H.TAIL or key.startswith("received "):
+                break
+            elif key in H.DROPPED or is_masthead(b.text):
+                mode = mode if mode == "body" else "dropped"
+            elif key == "abstract":
+                mode = "abstract"
+            elif key in H.SUMMARY and mode != "body":
+                mode = "summary"
+            else:
+                mode = "body"
+                stack = [x for x in stack if x[0] < b.level] + [(b.level, b.text)]
+                body.append(Section(tuple(t for _, t in stack)))
+        elif b.kind == "text" and (text := visible(b.text)) and not is_markup(text):
+            low = text.lower()
+            if mode != "body" and low.startswith(("statement of significance:", "highlights:")):
+                abstract.append(text)
+            elif mode != "body" and re.match(r"abstract\s*[:：]", low):
+                abstract.append(text)
+                mode = "abstract"
+            elif mode in ("abstract", "summary"):
+                if not is_noise(text):
+                    abstract.append(text)
+            elif mode == "body":
+                if H.CAPTION.match(text) or not is_noise(text):
+                    _append(body[-1].parts, text)
+            elif is_prose(text):
+                if not abstract:
+                    abstract.append(text)
+                else:
+                    if not body:
+                        body.append(Section(("Introduction",)))
+                    _append(body[-1].parts, text)
+    return abstract, body
+
+
+def _append(parts: list[str], text: str) -> None:
+    """A paragraph goes on the one before it if that has no sentence end."""
+    if parts and not H.CAPTION.match(text) and not H.CAPTION.match(parts[-1]) and not re.search(r"[.!?;:][\"')\]\s]*$", parts[-1]):
+        parts[-1] = f"{parts[-1]} {text}"
+    else:
+        parts.append(text)
+
+
+def split_long(text: str, target: int, most: int) -> list[str]:
+    """At sentence ends only: a sentence is never cut."""
+    if len(text) <= most:
+        return [text]
+    out = [""]
+    for sentence in re.split(r"(?<=[.!?])[\"')\]]*\s+", text):
+        if out[-1] and (len(out[-1]) >= target or len(out[-1]) + 1 + len(sentence) > most):
+            out.append(sentence)
+        else:
+            out[-1] = f"{out[-1]} {sentence}".strip()
+    return out
+
+
+def pack(units: list[tuple[tuple[str, ...], str]], size: int, overlap: int) -> list[tuple[str, str]]:
+    """(section hint, text): units of a path are joined up to the target; every chunk repeats its heading path."""
+    target, most = max(400, int(size * 0.68)), max(800, size)
+    out: list[list] = []
+    for path, text in units:
+        for piece in split_long(text, target, most):
+            last = out[-1] if out else None
+            room = last and sum(map(len, last[1])) + len(piece) <= most and (sum(map(len, last[1])) < target or H.CAPTION.match(piece))
+            if room and last[0] == path:
+                last[1].append(piece)
+            elif room and sum(map(len, last[1])) < max(300, int(size * 0.41)):
+                last[1].append("\n\n".join([*path, piece]))
+            else:
+                tail = last[1][-1][-overlap:] if overlap and last and last[0] == path else ""
+                out.append([path, [f"{tail[tail.find(' ') + 1 :]} {piece}" if tail else piece]])
+    return [(" > ".join(path), "\n\n".join([*path, *parts])) for path, parts in out]
+
+
+def hint(title: str, section: str, text: str, limit: int = 12) -> str:
+    words: dict[str, str] = {}
+    for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9\-]{2,}", f"{title} {section} {text[:600]}"):
+        if w.lower() not in H.STOPWORDS:
+            words.setdefault(w.lower(), w)
+    return ", ".join(list(words.values())[:limit])
+
+
+def chunk(content: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> tuple[str, list[dict]]:
+    """Title and chunks of one paper."""
+    found = blocks(content)
+    at = select_title(found)
+    title = found[at].text
+    abstract, body = sections(found, at)
+    made = [("Abstract", "\n\n".join([title, "Abstract", *abstract]))] if abstract else []
+    rest = pack([(s.path, p) for s in body for p in s.parts], size, overlap)
+    if not made and rest:
+        rest[0] = (rest[0][0], f"{title}\n\n{rest[0][1]}")
+    doc, seen, out = document_id(title), set(), []
+    for n, (section, text) in enumerate(made + rest, 1):
+        if text not in seen:
+            seen.add(text)
+            out.append({"chunk_id": f"{doc}:{n:04d}", "section_hint": section, "text": text, "keywords_hint": hint(title, section, text)})
+    return title, out
+
+
+SCHEMA = "source_path string, file_hash string, doc_id string, title string, normalized_title string, error string, chunks array<struct<chunk_id: string, section_hint: string, text: string, keywords_hint: string>>"
+
+
+def chunk_documents(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """From source_path, file_hash, text, error: a row a file with its title and chunks, or an error."""
+    import pyspark.sql.pandas.types as convert
+    from pyspark.sql.types import StructType
+
+    target = convert.to_arrow_schema(StructType.fromDDL(SCHEMA))
+
+    def one(row: dict) -> dict:
+        out = {"source_path": row["source_path"], "file_hash": row["file_hash"], "error": row["error"], "chunks": []}
+        try:
+            if out["error"] is None:
+                title, out["chunks"] = chunk(row["text"] or "", size, overlap)
+                out |= {"doc_id": document_id(title), "title": title, "normalized_title": normal_title(title)}
+        except ValueError as e:
+            out["error"] = str(e)
+        return out
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                yield pa.RecordBatch.from_pylist([one(r) for r in batch.slice(at, 256).to_pylist()], schema=target)
+
+    return files.select("source_path", "file_hash", "text", "error").mapInArrow(apply, SCHEMA)
+
+
+def chunk_table(parsed: DataFrame) -> DataFrame:
+    """The chunks of chunk_documents(), a row each."""
+    return parsed.where("error is null").select("doc_id", "title", "source_path", F.explode("chunks").alias("c")).select("c.chunk_id", "doc_id", "title", "source_path", *[F.lit(0).alias(k) for k in ("page_start", "page_end", "block_start", "block_end")], "c.section_hint", "c.text", "c.keywords_hint")
