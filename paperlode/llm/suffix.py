@@ -22,6 +22,7 @@ a worker holds BATCH bytes of stretches at a time.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, slices, staged
 
-SPAN, GRAM, SALT, BATCH = 100, 32, 512, 3 << 20
+SPAN, GRAM, SALT, BATCH = 100, 32, 512, 2 << 20
 LAST_ID = (1 << 63) - 1
 _TABLE = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -66,11 +67,18 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
     starts = np.cumsum(size) - size
     n = np.maximum(size - SPAN + 1, 0)
-    text = np.repeat(np.arange(len(texts)), n)
-    inside = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    at = (low[starts[text] + inside] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
-    return h[at[cut]], text[cut], inside[cut], np.diff(np.append(cut, len(at)))
+    at = low[: int(starts[-1] + size[-1])].astype(np.uint32)  # the place of each window's anchor
+    new = np.empty(len(at) + 1, bool)
+    new[0] = new[-1] = True
+    new[1:-1] = at[1:] != at[:-1]
+    new[starts] = new[starts + n] = True
+    cut = np.flatnonzero(new)
+    length, cut = np.diff(cut), cut[:-1]
+    text = np.searchsorted(starts, cut, "right") - 1
+    inside = cut - starts[text]
+    keep = inside < n[text]
+    cut, text = cut[keep], text[keep]
+    return h[at[cut]], text, inside[keep], length[keep]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -82,42 +90,45 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     padded = np.concatenate([text.astype(np.int64), np.zeros(width, np.int64)])
     for i in range(width):
         key = (key << bits) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
-    fresh = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-    first = np.flatnonzero(fresh)
+    order = np.argsort(key)
+    key = key[order]
+    split = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
-    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
-    while True:
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
-        open_ = np.flatnonzero(np.diff(np.append(first, n))[group] > 1)  # places in `order` not yet settled
-        if not len(open_):
-            break
-        at = order[open_]
-        behind = rank[np.minimum(at + width, n)]
-        key = rank[at] * (n + 1) + behind + 1
-        by = np.argsort(key, kind="stable")
-        order[open_], key = at[by], key[by]
-        split = np.concatenate([[True], key[1:] != key[:-1]])
-        mark = np.zeros(n, bool)
-        mark[first] = True
-        mark[open_] = split
-        first = np.flatnonzero(mark)
-        rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+    place = np.arange(n)  # places in `order` of groups that are not settled, group by group
+    while len(place):
+        head = np.flatnonzero(split)
+        size = np.diff(np.append(head, len(place)))
+        rank[order[place]] = np.repeat(place[head], size)
+        place = place[np.repeat(size, size) > 1]
+        at = order[place]
+        key = rank[at] * (n + 1) + rank[np.minimum(at + width, n)] + 1
+        by = np.argsort(key)
+        order[place], key = at[by], key[by]
+        split = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         width *= 2
     return order
 
 
+def _leading(x: np.ndarray) -> np.ndarray:
+    """How many of the eight bytes of each word, from the highest, are zero."""
+    return sum((x >> np.uint64(8 * k) == 0).astype(np.int64) for k in range(8))
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
     """Kasai's scan, one step at a time over all stretches: common symbols (up to `most`) of order[i - 1] and order[i].
 
-    A stretch runs from starts[k] for lengths[k] symbols; the scan moves along each, losing at most one common symbol a step.
+    A stretch runs from starts[k] for lengths[k] symbols; the scan moves along each, losing at most one common symbol a
+    step. Symbols are below 256 and compared eight at a time; none beyond the end of the text is common.
     """
     n = len(text)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     out = np.zeros(n, np.int64)
-    padded = np.concatenate([text.astype(np.int64), -1 - np.arange(most + 1)])
+    padded = np.concatenate([text.astype(np.uint64), np.zeros(8, np.uint64)])
+    word = np.zeros(n + 1, np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | padded[i : i + n + 1]
     held = np.zeros(len(starts), np.int64)
     for step in range(int(lengths.max(initial=0))):
         live = np.flatnonzero(step < lengths)
@@ -125,12 +136,13 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, len
         where = place[at]
         before = order[np.maximum(where - 1, 0)]
         common = np.where(where > 0, held[live], 0)
-        grow = np.flatnonzero(where > 0)
+        grow = np.flatnonzero((where > 0) & (common < most))
         while len(grow):
             a, b, c = at[grow], before[grow], common[grow]
-            same = (c < most) & (padded[np.minimum(a + c, n)] == padded[np.minimum(b + c, n)])
-            grow = grow[same & (a + c < n) & (b + c < n)]
-            common[grow] += 1
+            equal = _leading(word[np.minimum(a + c, n)] ^ word[np.minimum(b + c, n)])
+            common[grow] = c + equal
+            grow = grow[(equal == 8) & (c + 8 < most) & (np.maximum(a, b) + c + 8 < n)]
+        common = np.minimum(np.minimum(common, most), n - np.maximum(at, before))
         out[where] = common
         held[live] = np.maximum(common - 1, 0)
     return out
@@ -142,18 +154,17 @@ def shard(stretches: list[bytes], owner: np.ndarray, first: np.ndarray) -> tuple
     Returns stretch and offset of every window that repeats an earlier one, and of the earliest of every group.
     """
     length = np.array([len(s) for s in stretches], np.int64)
-    text = np.frombuffer(b"".join(s + b"\0" for s in stretches), np.uint8).astype(np.int32) + 1
+    text = np.frombuffer(b"".join(s + b"\0" for s in stretches), np.uint8).astype(np.int32)
     starts = np.cumsum(length + 1) - (length + 1)
-    text[starts + length] = 0
     order = suffix_array(text)
     lcp = common_prefixes(text, order, starts, length + 1, SPAN)
     stretch = np.repeat(np.arange(len(stretches)), length + 1)[order]
     offset = order - starts[stretch]
     window = offset + SPAN <= length[stretch]
+    group = np.cumsum(lcp < SPAN)[window]
     order, stretch, offset = order[window], stretch[window], offset[window]
-    # windows of a group stand together: what lies between two of them shares their prefix and so is one as well
     new = np.ones(len(order), bool)
-    new[1:] = lcp[window][1:] < SPAN
+    new[1:] = group[1:] != group[:-1]
     key = (owner[stretch] << 32) + first[stretch] + offset
     head = np.flatnonzero(new)
     least = np.repeat(np.minimum.reduceat(key, head), np.diff(np.append(head, len(key)))) if len(head) else key
@@ -202,12 +213,18 @@ def _shards(batches):
             # equal rows are one document: its own stretch again is no repeat
             later &= (document[at] != document[at][one][which]) | (start[at] != start[at][one][which])
             done.append((document[at][later], start[at][later], (start + windows)[at][later]))
-            keep = at[one]
-            a, ao, r, ro = shard(list(distinct), document[keep], start[keep])
-            s = start[keep][a] + ao
-            done.append((document[keep][a], s, s + 1))
-            dealt = frame["salts"].to_numpy()[keep][r] > 1
-            for k, o in zip(r[dealt].tolist(), ro[dealt].tolist(), strict=True):
+            keep, h = at[one], frame["h"].to_numpy()[at[one]]
+            # a stretch's windows differ, as they hold one anchor at different places; with no other stretch there is nothing to compare
+            by, number = np.unique(h, return_inverse=True, return_counts=True)[1:]
+            alone = number[by] == 1
+            several = np.flatnonzero(~alone)
+            a, ao, r, ro = shard([distinct[i] for i in several.tolist()], document[keep][several], start[keep][several])
+            s = start[keep][several][a] + ao
+            done.append((document[keep][several][a], s, s + 1))
+            salts = frame["salts"].to_numpy()[keep]
+            dealt = salts[several][r] > 1
+            own = np.flatnonzero(alone & (salts > 1)).tolist()
+            for k, o in chain(zip(several[r[dealt]].tolist(), ro[dealt].tolist(), strict=True), ((k, o) for k in own for o in range(len(distinct[k]) - SPAN + 1))):
                 d = hashlib.blake2b(distinct[k][o : o + SPAN], digest_size=16).digest()
                 heads.append((document[keep[k]], start[keep[k]] + o, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
         owner, s, e = _runs(*(np.concatenate(x) for x in zip(*done, strict=True)))
@@ -318,21 +335,24 @@ def repeats(docs: DataFrame) -> DataFrame:
             for p in slices(batch, 256, 1 << 20):
                 ids, packs, found = (c.to_pylist() for c in p.columns)
                 out: list[list] = [[] for _ in range(8)]
-                for i, pack, common_ in zip(ids, packs, found, strict=True):
-                    t = z.decompress(pack)
-                    n_of = {x["h"]: x["n"] for x in common_}
-                    part = xxhash.xxh64_intdigest(t) - (1 << 63)
-                    h, _, first, windows = anchors([t])
-                    seen = set()
-                    for a, f, w in zip(h.view(np.int64).tolist(), first.tolist(), windows.tolist(), strict=True):
-                        if (n := n_of.get(a)) is None:
-                            continue
-                        s = t[f : f + w + SPAN - 1]
-                        salts = max(1, n // SALT)
-                        row = (a, part % salts, salts, i, part, f, w, None if s in seen else s)
-                        seen.add(s)
-                        for o, v in zip(out, row, strict=True):
-                            o.append(v)
+                texts = [z.decompress(pack) for pack in packs]
+                parts = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
+                number = [{x["h"]: x["n"] for x in common_} for common_ in found]
+                h, text, first, windows = anchors(texts)
+                wanted = np.isin(h.view(np.int64), np.fromiter(chain.from_iterable(number), np.int64))
+                seen: set = set()
+                last = -1
+                for a, d, f, w in zip(*(x[wanted].tolist() for x in (h.view(np.int64), text, first, windows)), strict=True):
+                    if (n := number[d].get(a)) is None:
+                        continue
+                    if d != last:
+                        seen, last = set(), d
+                    s = texts[d][f : f + w + SPAN - 1]
+                    salts = max(1, n // SALT)
+                    row = (a, parts[d] % salts, salts, ids[d], parts[d], f, w, None if s in seen else s)
+                    seen.add(s)
+                    for o, v in zip(out, row, strict=True):
+                        o.append(v)
                 types = [pa.int64()] * 7 + [pa.binary()]
                 names = ["h", "salt", "salts", "id", "part", "first", "windows", "stretch"]
                 yield pa.RecordBatch.from_arrays([pa.array(o, ty) for o, ty in zip(out, types, strict=True)], names)
