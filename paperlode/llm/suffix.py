@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, staged
+from .common import map_rows, released, slices, staged
 
 SPAN, GRAM, SALT, BATCH = 100, 32, 512, 2 << 20
 LAST_ID = (1 << 63) - 1
@@ -315,7 +315,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text])], ["h", "id"])
 
     common = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    common = staged(common, "anchors")
+    common = released(staged(common, "anchors"))
     lists = docs.mapInArrow(place, "h long, id long").join(common, "h").groupBy("id").agg(F.collect_set(F.struct("h", "n")).alias("common"))
 
     def packed():
@@ -358,7 +358,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(o, ty) for o, ty in zip(out, types, strict=True)], names)
 
     pieces = joined.select("id", "z", "common").mapInArrow(cut, "h long, salt long, salts long, id long, part long, first long, windows long, stretch binary")
-    found = staged(pieces.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shards, ROWS), "repeats")
+    found = released(staged(pieces.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shards, ROWS), "repeats"))
     heads = found.where("w1 is not null").repartition("w1").sortWithinPartitions("w1", "w2", "id", "part", "s")
     return found.where("w1 is null").select("id", "part", "s", "e").unionByName(heads.mapInArrow(_merged, "id long, part long, s long, e long"))
 
@@ -366,7 +366,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay, zstd-compressed), kept_sha256."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    by_doc = staged(repeats(docs).groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    by_doc = released(staged(repeats(docs).groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans"))
 
     def packed():
         import zstandard
