@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, staged, text_bytes
+from .common import map_rows, released, slices, staged, text_bytes
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -194,7 +194,7 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(train: DataFrame) -> Model:
     """train: `text` as binary. The rows that come to the driver are bounded by the number of contexts (see above)."""
-    counts = staged(counted(train), "ctw-counts")
+    counts = released(staged(counted(train), "ctw-counts"))
     trees = counts.withColumn("last", F.shiftright("code", 18)).groupBy("last").applyInPandas(lambda key, rows: tree(rows), "kind int, context long, ones array<float>, node array<double>")
     trees = staged(trees, "ctw-trees")
     return Model(trees.collect())
@@ -222,7 +222,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     docs = text_bytes(df, id_col, text_col)
     train = docs.where(~held_out())
     model = spark.sparkContext.broadcast(fit(train))
-    counts = staged(word_counts(train), "words")
+    counts = released(staged(word_counts(train), "words"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     def parts(c):
