@@ -54,6 +54,20 @@ def test_scalar_functions(spark):
     assert list(row) == [["etude", "of", "ph", "7", "4", "p", "h", "8"], ["7.4", "8"], '{"a": 1}', [3, 8], 7, True, "yes it is"]
 
 
+def test_section_chunks(spark):
+    from paperlode.operators.chunking import chunk
+    from paperlode.sources.markdown import page_blocks
+
+    want = []
+    for r in page_blocks(spark.read.parquet(f"{SF}/pages.parquet")).collect():
+        try:
+            want += [(str(r["page_id"]), c["chunk_id"], c["text"]) for c in chunk(f"# {r['heading']}\n\n## Abstract\n\n{r['heading']}.\n\n## {r['title']}\n\n{r['text']}")[1]]
+        except ValueError:
+            continue
+    got = registry.QUERIES["section_chunks"](spark, SF).select("source_path", "chunk_id", "text").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
