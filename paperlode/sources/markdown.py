@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 def read_markdown(spark: SparkSession, *paths: str) -> DataFrame:
     """source_path, file_hash, text, error for every .md file under the paths, each once. Text that is not UTF-8 is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(list(paths))
+    return as_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(list(paths)))
+
+
+def as_files(files: DataFrame) -> DataFrame:
+    """read_markdown() for rows of the binaryFile source."""
     text = F.expr("try_validate_utf8(cast(content as string))")
     rows = files.dropDuplicates(["path"]).select(F.regexp_replace("path", "^file:/+", "/").alias("source_path"), F.sha2("content", 256).alias("file_hash"), text.alias("text"))
     return rows.withColumn("error", F.when(F.col("text").isNull(), F.lit("not valid UTF-8")))

@@ -52,11 +52,14 @@ class Store:
     def postings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.version()}/postings")
 
-    def add(self, *paths: str, embedder: Embedder | None = None, chunk_size: int = chunking.CHUNK_SIZE, overlap: int = chunking.OVERLAP, rebuild: bool = False) -> dict:
+    def add(self, *paths: str, **options) -> dict:
         """Indexes the .md files under the paths; unchanged files are skipped before they are parsed. Returns the counts and failures."""
+        return self.add_files(read_markdown(self.spark, *paths), **options)
+
+    def add_files(self, files: DataFrame, embedder: Embedder | None = None, chunk_size: int = chunking.CHUNK_SIZE, overlap: int = chunking.OVERLAP, rebuild: bool = False) -> dict:
+        """add() for rows as read_markdown() gives them."""
         embedder = embedder or HashEmbedder()
         state = self.table("documents").limit(0) if rebuild else self.table("documents")
-        files = read_markdown(self.spark, *paths)
         known = state.select(F.col("source_path").alias("_p"), F.col("file_hash").alias("_h"))
         fresh = files.join(known, (F.col("source_path") == F.col("_p")) & (F.col("file_hash") == F.col("_h")), "left_anti")
         parsed = chunking.chunk_documents(fresh, chunk_size, overlap).persist()

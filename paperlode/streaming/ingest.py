@@ -38,6 +38,19 @@ def event_counts(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("hour", "event_type").agg(F.max_by(F.struct("n", "total"), "version").alias("r")).select("hour", "event_type", "r.n", "r.total")
 
 
+def ingest_markdown(store, folder: str, checkpoint: str, **options):
+    """Indexes the .md files of a folder, and those that come later, as a stream: every micro-batch is one commit of the store,
+    and a batch that runs again after a failure finds its files unchanged. Returns the started query (all files now, then it ends)."""
+    from ..sources.markdown import as_files
+
+    files = store.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(folder)
+
+    def commit(batch: DataFrame, number: int) -> None:
+        store.add_files(as_files(batch), **options)
+
+    return files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(commit).trigger(availableNow=True).start()
+
+
 def _is_directory(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()

@@ -65,3 +65,16 @@ def test_delete_by_file_name(store):
     assert store.table("documents").count() == 2 and store.table("chunks").where("title like 'Off%'").count() == 0
     with pytest.raises(ValueError):
         store.delete("off.md")
+
+
+def test_streamed_files_are_indexed_once(spark, tmp_path):
+    from paperlode.streaming.ingest import ingest_markdown
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "direct.md").write_text(PAPERS["direct.md"])
+    store = Store(spark, f"file://{tmp_path}/store")
+    for extra in (None, "background.md"):
+        if extra:
+            (tmp_path / "in" / extra).write_text(PAPERS[extra])
+        ingest_markdown(store, f"file://{tmp_path}/in", f"file://{tmp_path}/state").awaitTermination()
+    assert store.table("documents").count() == 2
