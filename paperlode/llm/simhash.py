@@ -170,6 +170,38 @@ def _close(words: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Block values of up to so many members are compared together, one distance along the order at a time.
+FEW = 64
+
+
+def _forest(block: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of links for every block value of sorted rows, as _close() has them for one."""
+    head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    size = np.diff(np.append(head, len(block)))
+    few = np.repeat(size <= FEW, size)
+    root: dict[int, int] = {}
+
+    def find(i):
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
+        return i
+
+    out: list[tuple[int, int]] = []
+    for step in range(1, int(size[size <= FEW].max(initial=1))):
+        i = np.flatnonzero(few[:-step] & (block[step:] == block[:-step]))
+        for at in range(0, len(i), 1 << 16):
+            part = i[at : at + (1 << 16)]
+            for x in part[np.bitwise_count(words[part] ^ words[part + step]).sum(1, dtype=np.int64) <= most].tolist():
+                if (p := find(x)) != (q := find(x + step)):
+                    root[max(p, q)] = min(p, q)
+                    out.append((x, x + step))
+    for start, n in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+        out += [(start + i, start + j) for i, j in _close(words[start : start + n], most)]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def similar(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: documents linked by wide fingerprints whose shingle sets are about `similarity` alike or more.
 
@@ -192,25 +224,25 @@ def similar(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str
     def joined(batches):
         import pyarrow as pa
 
-        held_rep, held_fp, last = [], [], None
-
-        def flush():
-            links = _close(np.frombuffer(b"".join(held_fp), np.uint64).reshape(-1, WIDE), most) if len(held_rep) > 1 else []
-            return [held_rep[i] for i, _ in links], [held_rep[j] for _, j in links]
-
+        held: list = []
         for batch in batches:
-            a, b = [], []
-            for k, key, rep, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last != (k, key):
-                    x, y = flush()
-                    a += x
-                    b += y
-                    held_rep, held_fp, last = [], [], (k, key)
-                held_rep.append(rep)
-                held_fp.append(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        a, b = flush()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            k, key, rep, fp = batch.columns
+            block = (k.to_numpy().astype(np.int64) << 16) | np.frombuffer(b"".join(key.to_pylist()), ">u2")
+            words = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(-1, WIDE)
+            held.append((block, rep.to_numpy(), words))
+            if block[0] == block[-1] == held[0][0][0]:
+                continue  # one block value so far
+            block, reps, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = int(np.searchsorted(block == block[-1], True))  # the last value may go on
+            held = [(block[end:], reps[end:], words[end:])]
+            a, b = _forest(block[:end], words[:end], most)
+            yield pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b])], ["a", "b"])
+        if held:
+            block, reps, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = _forest(block, words, most)
+            yield pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b])], ["a", "b"])
 
     links = blocks.select("k", "key", "rep", "fp").repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(joined, "a long, b long")
     # fingerprints that share their least id (rows of one id with other texts) are one node
