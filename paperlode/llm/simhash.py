@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged, text_bytes
+from .common import discard, map_rows, released, staged, text_bytes
 from .components import components
 
 BITS, BLOCKS, WIDTH, SEED, CROWDED = 4, 6, 4, 42, 4096
@@ -122,130 +122,167 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints, for similarities where 64 bits are too few: WIDE words of 64 bits, cut into 16-bit blocks.
-WIDE, CHUNK = 8, 1024
-
-
-def wide_fingerprint(text: bytes | None, width: int) -> bytes:
-    """WIDE * 64 SimHash bits over the distinct shingles, so that bits agree as shingle sets do. No words: all zero."""
-    h = np.unique(np.array(shingle_hashes(text or b"", width), np.uint64))
-    ones = np.zeros((WIDE, 64), np.int64)
-    for start in range(0, len(h), 16384):
-        part = h[start : start + 16384]
-        for k in range(WIDE):
-            x = (part + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h)).tobytes()
-
-
-def wide_bits(similarity: float) -> int:
-    """Differing bits to allow for pairs of this Jaccard similarity: what is expected, and one standard deviation."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(np.floor(64 * WIDE * p + (64 * WIDE * p * (1 - p)) ** 0.5))
-
-
-def _close(words: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links (i, j) that connect all rows within `most` bits of each other as the full set of such pairs would."""
-    root = list(range(len(words)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for a in range(0, len(words), CHUNK):
-        for b in range(0, a + 1, CHUNK):
-            x, y = words[a : a + CHUNK], words[b : b + CHUNK]
-            apart = np.zeros((len(x), len(y)), np.int16)
-            for k in range(WIDE):
-                apart += np.bitwise_count(x[:, None, k] ^ y[None, :, k])
-            for i, j in np.argwhere(apart <= most).tolist():
-                if a + i > b + j and (p := find(a + i)) != (q := find(b + j)):
-                    root[max(p, q)] = min(p, q)
-                    out.append((b + j, a + i))
-    return out
+#: Near duplicates by true Jaccard similarity: MinHash bands of ROWS values each propose pairs, the shingle sets decide. Two
+#: sets alike by 0.8 share none of the BANDS with probability (1 - 0.8^3)^24 = 3e-8. FIRST of the bands make stars.
+BANDS, ROWS, FIRST, CHUNK = 24, 3, 4, 512
+
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(np.array(shingle_hashes(text or b"", width), np.uint64))
+
+
+def min_hashes(h: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS MinHash values of a set that is not empty."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for start in range(0, len(h), 4096):
+        x = (h[None, start : start + 4096] ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x94D049BB133111EB)
+        least = np.minimum(least, x.min(1))
+    return least
+
 
+def least_matches(similarity: float) -> int:
+    """MinHash values that two sets this alike share at least: six standard deviations below what is expected."""
+    n = BANDS * ROWS
+    return max(0, int(np.floor(n * similarity - 6 * (n * similarity * (1 - similarity)) ** 0.5)))
 
-#: Block values of up to so many members are compared together, one distance along the order at a time.
-FEW = 64
-
-
-def _forest(block: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of links for every block value of sorted rows, as _close() has them for one."""
-    head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    size = np.diff(np.append(head, len(block)))
-    few = np.repeat(size <= FEW, size)
-    root: dict[int, int] = {}
-
-    def find(i):
-        while (up := root.get(i, i)) != i:
-            root[i] = root.get(up, up)
-            i = up
-        return i
-
-    out: list[tuple[int, int]] = []
-    for step in range(1, int(size[size <= FEW].max(initial=1))):
-        i = np.flatnonzero(few[:-step] & (block[step:] == block[:-step]))
-        for at in range(0, len(i), 1 << 16):
-            part = i[at : at + (1 << 16)]
-            for x in part[np.bitwise_count(words[part] ^ words[part + step]).sum(1, dtype=np.int64) <= most].tolist():
-                if (p := find(x)) != (q := find(x + step)):
-                    root[max(p, q)] = min(p, q)
-                    out.append((x, x + step))
-    for start, n in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-        out += [(start + i, start + j) for i, j in _close(words[start : start + n], most)]
-    pairs = np.array(out, np.int64).reshape(-1, 2)
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of shingle hashes, not both empty, have this Jaccard similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _candidates(key: np.ndarray, root: np.ndarray, size: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of one key and different roots whose sizes allow the similarity and whose marks agree often enough."""
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least, out = least_matches(similarity), [np.zeros((0, 2), np.int64)]
+    for start, end in itertools.pairwise([*head.tolist(), len(key)]):
+        for a in range(start, end, CHUNK):
+            for b in range(start, a + 1, CHUNK):
+                i, j = np.s_[a : min(a + CHUNK, end)], np.s_[b : min(b + CHUNK, end)]
+                fit = np.minimum(size[i, None], size[None, j]) >= similarity * np.maximum(size[i, None], size[None, j]) - 1e-9
+                x, y = np.nonzero(fit & (root[i, None] != root[None, j]))
+                x, y = x + a, y + b
+                x, y = x[x > y], y[x > y]
+                for at in range(0, len(x), 1 << 16):
+                    u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                    close = (marks[u] == marks[v]).sum(1) >= least
+                    out.append(np.stack([u[close], v[close]], 1))
+    pairs = np.concatenate(out)
     return pairs[:, 0], pairs[:, 1]
 
 
-def similar(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: documents linked by wide fingerprints whose shingle sets are about `similarity` alike or more.
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose shingle sets are alike, staged. texts: part, text; only those of the pairs go on."""
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = staged(ids.join(nodes.select("node", "part"), "node"), "near-ids")
+    need = released(staged(texts.join(ids, "part").dropDuplicates(["part"]).select("node", "text"), "near-texts"))
+
+    def make():
+        def f(c):
+            good = [(a, b) for a, b, x, y in zip(*c, strict=True) if alike(shingle_set(x, width), shingle_set(y, width), similarity)]
+            return {"a": [a for a, _ in good], "b": [b for _, b in good]}
 
-    Every fingerprint is filed under each of its 16-bit blocks; fingerprints that share one are compared over all bits,
-    and each block value returns a forest of links rather than its pairs, so that what it returns grows with its members.
-    Two texts alike by 0.8 share one of the 32 blocks with probability 0.91, by 0.9 with 0.998; pairs apart by under 32
-    bits always do. Null ids come last; null and empty texts are alike.
+        return f
+
+    both = pairs.join(need.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(need.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    out = released(staged(map_rows(both.select("a", "b", "x", "y"), make, "a long, b long"), "near-links"))
+    discard(need)
+    return out
+
+
+def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, part (a hash of the text), root: one row for each row; rows share a root if links of this Jaccard similarity
+    join their shingle sets.
+
+    A node is a distinct shingle set, whatever ids its rows have. The first bands link each member of a band value to the least
+    one there; what of that is verified gives components. Then all bands propose every pair whose ends are not yet in
+    one component, so no link that the bands can see is left out, and a large cluster does not cost its square. Every link is
+    verified on the sets themselves. Null and empty texts are one node.
     """
-    most = wide_bits(similarity)
 
     def make():
-        return lambda c: {"doc_id": c[0], "fp": [wide_fingerprint(t, width) for t in c[1]]}
+        import xxhash
+
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
 
-    docs = staged(map_rows(text_bytes(df, id_col, text_col), make, "doc_id long, fp binary"), "wide")
-    known = docs.select("fp", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"))
-    first = staged(known.groupBy("fp").agg(F.min("id").alias("rep")), "wide-first")
-    reps = first.groupBy("rep").agg(F.min("fp").alias("fp"))
-    blocks = reps.select("rep", "fp", F.explode(F.sequence(F.lit(0), F.lit(4 * WIDE - 1))).alias("k")).withColumn("key", F.substring("fp", 2 * F.col("k") + 1, 2))
+        def f(c):
+            sets = [shingle_set(t, width) for t in c[2]]
+            mins = [min_hashes(h) if len(h) else None for h in sets]
+            return {
+                "doc_id": c[0], "part": c[1], "node": [signed(xxhash.xxh64_intdigest(h.tobytes(), width)) for h in sets], "size": [len(h) for h in sets],
+                "marks": [b"" if m is None else (m & np.uint64(255)).astype(np.uint8).tobytes() for m in mins],
+                "keys": [[] if m is None else [signed(xxhash.xxh64_intdigest(m[ROWS * k : ROWS * (k + 1)].tobytes(), k)) for k in range(BANDS)] for m in mins],
+            }
+
+        return f
+
+    text = F.col(text_col).cast("binary")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("part"), text.alias("text"))
+    docs = staged(map_rows(rows, make, "doc_id long, part long, node long, size long, marks binary, keys array<long>"), "near")
+    nodes = staged(docs.where("size > 0").select("node", "part", "size", "marks", "keys").dropDuplicates(["node"]), "near-nodes")
+    texts = rows.select("part", "text")
+
+    first = nodes.select("node", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    star = first.join(first.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "key")
+    star = star.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    for end in "ab":
+        star = star.join(nodes.select(F.col("node").alias(end), F.struct("size", "marks").alias(f"at_{end}")), end)
+    star = star.where(F.least("at_a.size", "at_b.size") >= similarity * F.greatest("at_a.size", "at_b.size") - 1e-9)
+
+    def close():
+        def f(c):
+            x, y = (np.frombuffer(b"".join(m), np.uint8).reshape(-1, BANDS * ROWS) for m in c[2:])
+            keep = (x == y).sum(1) >= least_matches(similarity)
+            return {"a": np.array(c[0], np.int64)[keep], "b": np.array(c[1], np.int64)[keep]}
+
+        return f
+
+    star = staged(map_rows(star.select("a", "b", "at_a.marks", F.col("at_b.marks").alias("marks_b")), close, "a long, b long"), "near-stars")
+    sure = verified(star, nodes, texts, similarity, width)
+    known = components(sure).withColumnRenamed("node", "_n")
+
+    rooted = nodes.join(known, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "marks", "keys")
+    keyed = rooted.select("node", "root", F.explode("keys").alias("key"))
+    open_keys = keyed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
+    filed = keyed.join(open_keys, "key").join(nodes.select("node", "size", "marks"), "node").select("key", "node", "root", "size", "marks")
 
     def joined(batches):
         import pyarrow as pa
 
+        def found(rows):
+            key, node, root, size, marks = rows
+            i, j = _candidates(key, root, size, marks, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
         held: list = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, key, rep, fp = batch.columns
-            block = (k.to_numpy().astype(np.int64) << 16) | np.frombuffer(b"".join(key.to_pylist()), ">u2")
-            words = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(-1, WIDE)
-            held.append((block, rep.to_numpy(), words))
-            if block[0] == block[-1] == held[0][0][0]:
-                continue  # one block value so far
-            block, reps, words = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = int(np.searchsorted(block == block[-1], True))  # the last value may go on
-            held = [(block[end:], reps[end:], words[end:])]
-            a, b = _forest(block[:end], words[:end], most)
-            yield pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b])], ["a", "b"])
+            *numbers, marks = batch.columns
+            held.append((*[c.to_numpy() for c in numbers], np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)))
+            if held[0][0][0] == held[-1][0][-1]:
+                continue  # one key so far
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.argmax(rows[0] == rows[0][-1]))  # the last key may go on
+            held = [tuple(x[end:] for x in rows)]
+            yield found([x[:end] for x in rows])
         if held:
-            block, reps, words = (np.concatenate(x) for x in zip(*held, strict=True))
-            a, b = _forest(block, words, most)
-            yield pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b])], ["a", "b"])
-
-    links = blocks.select("k", "key", "rep", "fp").repartition("k", "key").sortWithinPartitions("k", "key").mapInArrow(joined, "a long, b long")
-    # fingerprints that share their least id (rows of one id with other texts) are one node
-    roots = components(links)
-    named = first.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return docs.join(named, "fp").select("doc_id", F.nullif("component_id", F.lit((1 << 63) - 1)).alias("component_id"))
+            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    more = filed.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long").distinct()
+    more = staged(more, "near-more")
+    roots = components(sure.unionByName(verified(more, nodes, texts, similarity, width))).withColumnRenamed("node", "_n")
+    return docs.select("doc_id", "part", "node").join(roots, F.col("node") == F.col("_n"), "left").select("doc_id", "part", F.coalesce("root", "node").alias("root"))
+
+
+def similar(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: the least doc_id (null if all are) of a row's group, see groups()."""
+    docs = staged(groups(df, similarity, width, id_col, text_col), "near-groups")
+    least = docs.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return docs.join(least, "root").select("doc_id", "component_id")

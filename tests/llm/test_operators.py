@@ -126,6 +126,21 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
 
 
+def test_similar_is_true_jaccard(spark):
+    """Isolated pairs around 0.8 (300 shingles; each of k changed words far apart takes five) against brute force."""
+    rng, rows = np.random.default_rng(3), []
+    for pair in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 304)]
+        other, k = list(words), int(rng.integers(4, 10))
+        for at in rng.choice(np.arange(5, 300, 8), k, replace=False):
+            other[at] = f"x{at}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    expected = {i: i - i % 2 if len(sets[i - i % 2] & sets[i | 1]) >= 0.8 * len(sets[i - i % 2] | sets[i | 1]) else i for i in range(len(rows))}
+    assert 100 < sum(i != c for i, c in expected.items()) < 300
+    assert dict(simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == expected
+
+
 def test_audio(docs, none):
     for r, t in zip(sorted(audio.digest(docs.where("doc_id is not null")).collect(), key=lambda r: r["doc_id"]), sorted((x for x in rows() if x[0] is not None), key=lambda x: x[0]), strict=True):
         b = (t[1] or "").encode()
