@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, mixing, secrets as scans, simhash
 from . import quality as classifier
+from .common import staged
 
 #: Documents that score lower than this are rejected (the classifier's even odds).
 QUALITY = 0.5
@@ -21,10 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of every group of near duplicates. Rows of one id are one document."""
-    groups = simhash.similar(docs, SIMILARITY, SHINGLE)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Keeps one row of every group of near duplicates: the one of least id (null last), then of least text hash. Rows count by
+    their texts: rows that share an id (null as well) and differ in text are different documents."""
+    rows = simhash.groups(docs, SIMILARITY, SHINGLE).groupBy("root", "doc_id", "part").agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part", "n")).alias("m"))
+    best = staged(best.select(F.col("m.doc_id").alias("_id"), F.col("m.part").alias("_best"), F.col("m.n").alias("_n")), "near-best")
+    parted = docs.withColumn("_part", F.xxhash64(F.col("text").cast("binary")))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_part") == F.col("_best"))
+    once = parted.join(best.where("_n = 1"), here, "left_semi")
+    again = parted.join(best.where("_n > 1"), here, "left_semi").dropDuplicates(["doc_id", "_part"])
+    return once.unionByName(again).drop("_part")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

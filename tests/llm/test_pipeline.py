@@ -50,3 +50,24 @@ def test_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark):
+    """Null and shared ids: a copy goes, what merely shares an id with it stays; against brute-force Jaccard."""
+    from paperlode.llm import simhash, stages
+
+    def words(name, *changed):
+        return " ".join(f"{name}{i}" if i not in changed else f"{name}new{i}" for i in range(300))
+
+    texts = [(1, words("a")), (None, words("a")), (None, words("b")), (None, words("c")), (None, words("c", 50)), (None, words("d")), (None, words("d")), (7, words("e")), (7, words("f")), (8, words("f", 10, 200)), (9, words("g")), (9, words("b", 150))]
+    order = sorted(range(len(texts)), key=lambda i: (texts[i][0] is None, texts[i][0] or 0))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for _, t in texts]
+    left: list[int] = []
+    for i in order:
+        if all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for j in left):
+            left.append(i)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stages.near_duplicates(spark, docs, SF).collect()
+    name = lambda t: t[0]
+    assert sorted((str(r["doc_id"]), name(r["text"])) for r in kept) == sorted((str(texts[i][0]), name(texts[i][1])) for i in left)
+    assert len(kept) == 7
