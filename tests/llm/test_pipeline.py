@@ -71,3 +71,25 @@ def test_near_duplicates_go_by_row_not_by_id(spark):
     name = lambda t: t[0]
     assert sorted((str(r["doc_id"]), name(r["text"])) for r in kept) == sorted((str(texts[i][0]), name(texts[i][1])) for i in left)
     assert len(kept) == 7
+
+
+def test_mix_keeps_the_copies_of_rows_that_share_an_id(spark):
+    """Null, repeated and single ids: a source's words are those of the mix, and each row gets the mix's whole part or one more."""
+    from collections import Counter
+
+    from paperlode.llm import mixing, stages
+
+    rows = [(None, f"null{i} words", "a") for i in range(40)] + [(5, f"five{i} words of it", "b") for i in range(30)] + [(5, "five equal", "b")] * 7 + [(i, f"one{i} " * (1 + i % 5), "abc"[i % 3]) for i in range(100, 220)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want, bounds = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        want[r["source"]] += r["taken"]
+        bounds[r["source"]] = int(r["target"] / r["source_size"])
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in stages.mix(spark, docs, SF).collect())
+    words = Counter()
+    for (_, t, s), n in got.items():
+        words[s] += n * len(t.split())
+    assert words == want
+    for row, n in Counter(rows).items():
+        assert n * bounds[row[2]] <= got[row] <= n * (bounds[row[2]] + 1)
+    assert got == Counter((r["doc_id"], r["text"], r["source"]) for r in stages.mix(spark, docs.repartition(5), SF).collect())
