@@ -3,7 +3,8 @@
 Fixed patterns (kinds assign, access, hex) give the base spans. The battery adds spans of kind `random`:
 
 1. Candidates are maximal runs of 16 or more encoding characters; each gets an inferred encoding (hex, base32,
-   base64/base64url, alphanumeric) or none (words, plain numbers).
+   base64/base64url, alphanumeric) or none (words, plain numbers). A run that mixes the separators of base64 and base64url
+   is cut at those of either; of parts found random that lie in one another the longest counts.
 2. Three tests ask whether the token looks drawn at random from that alphabet: chi-squared uniformity, the runs test
    about the alphabet's middle, and lag-1 serial correlation. A token that any of them rejects at RANDOM_LEVEL / 3 is not
    random.
@@ -93,7 +94,11 @@ def tested(df: DataFrame) -> DataFrame:
         when t rlike '^[A-Za-z0-9_-]+$' then 'base64url' end"""
     alphabet = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in ALPHABETS.items()) + " end"
     let = lambda df, expr: df.withColumn("_tests", F.expr(expr))
-    df = let(df, "transform(_cand, c -> struct(c.s as s, c.e as e, rtrim('=', c.hit) as t))")
+    df = let(df, "transform(_cand, c -> struct(cast(c.s as long) as s, cast(c.e as long) as e, rtrim('=', c.hit) as t))")
+    # a run with separators of both base64 alphabets has no encoding: its parts between either's separators are candidates
+    pieces = """aggregate(split(c.t, '{0}'), struct(c.s as at, cast(array() as array<struct<s: bigint, e: bigint, t: string>>) as out),
+        (a, p) -> struct(a.at + length(p) + 1 as at, if(length(p) >= 16, array_append(a.out, struct(a.at as s, if(a.at + length(p) = c.s + length(c.t), c.e, a.at + length(p)) as e, p as t)), a.out) as out), a -> a.out)"""
+    df = let(df, f"flatten(transform(_tests, c -> if(c.t rlike '[+/]' and c.t rlike '[_-]', array_distinct(concat({pieces.format('[+/]')}, {pieces.format('[_-]')})), array(c))))")
     df = let(df, f"filter(transform(_tests, c -> transform(array(c.t), t -> struct(c.s as s, c.e as e, length(t) as n, {encoding} as kind, t as t))[0]), c -> c.kind is not null and c.n >= 16)")
     df = let(df, f"transform(_tests, c -> transform(array(c.kind), kind -> struct(c.s as s, c.e as e, c.n as n, kind as kind, if(kind = 'hex', lower(c.t), c.t) as t, {alphabet} as letters))[0])")
     df = let(df, """transform(_tests, c -> struct(c.s as s, c.e as e, cast(c.n as double) as n, c.kind as kind, cast(length(c.letters) as double) as k,
@@ -123,7 +128,7 @@ def discovered(df: DataFrame) -> DataFrame:
     df = df.withColumn("_mean", F.expr("aggregate(_tests, 0D, (a, c) -> a + c.n) / greatest(size(_tests), 1)"))
     df = df.withColumn("_sorted", F.expr("array_sort(transform(_tests, c -> c.p_text * _mean / c.n))"))
     df = df.withColumn("_bar", F.expr(f"array_max(transform(_sorted, (q, i) -> if(q <= (i + 1) * {DISCOVERY_RATE}D / size(_sorted), q, -1D)))"))
-    return df.withColumn("_random", F.expr(f"filter(_tests, c -> c.p_text * _mean / c.n <= _bar and c.p_random >= {RANDOM_LEVEL / 3}D)")).drop("_mean", "_sorted", "_bar")
+    return df.withColumn("_random", F.expr(f"filter(_tests, c -> c.p_text * _mean / c.n <= _bar and c.p_random >= {RANDOM_LEVEL / 3}D)")).withColumn("_random", F.expr("filter(_random, c -> not exists(_random, d -> d.s <= c.s and d.e >= c.e and d.e - d.s > c.e - c.s))")).drop("_mean", "_sorted", "_bar")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,6 +97,15 @@ def brute_fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
+def test_secrets_inside_paths(spark):
+    key = "q7Zp2LxV9nTb4KfRw8YcJ3mHsD6gUa1eXo5N"
+    texts = [f"see {before}{key}{after} there" for before in ("", "/api_v1/", "prod-db/", "a_b/c+d/") for after in ("", "/x_y")]
+    got = secrets.redact(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert all(key not in r["text"] and r["text"].count("[SECRET]") == 1 for r in got)
+    plain = spark.createDataFrame([(1, "in /usr_local/share-data/documentation_pages/reference-manual now")], "doc_id long, text string")
+    assert secrets.redact(plain).first()["text"] == plain.first()["text"]
+
+
 def test_simhash(docs, none):
     table = rows()
     fp = [brute_fingerprint(t[1]) for t in table]
