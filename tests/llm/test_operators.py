@@ -239,6 +239,18 @@ def test_embeddings(spark):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(502, 508))
 
 
+def test_embeddings_link_isolated_pairs_at_the_threshold(spark):
+    rng, data = np.random.default_rng(5), []
+    for pair in range(500):
+        x, y = rng.normal(size=(2, 64))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        cosine = rng.uniform(0.9001, 0.905)
+        data += [(2 * pair, x.tolist()), (2 * pair + 1, (cosine * x + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y)).tolist())]
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] - r["vec_id"] % 2 for r in got)
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     table = rows()
