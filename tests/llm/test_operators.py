@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperlode.llm import audio, bpe, ctw, embeddings, mixing, quality, secrets, simhash, suffix
+from paperlode.llm import audio, bpe, buckets, ctw, embeddings, mixing, quality, secrets, simhash, suffix
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -234,8 +235,8 @@ def test_embeddings(spark):
     good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in data if i <= 501]
     near = {i: [j for j, b in good if j != i and a @ b >= 0.9] for i, a in good}
     got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
-    assert len(got) == len(data) and sum(got[i]["n_links"] for i in near) >= 0.97 * sum(map(len, near.values()))
-    assert all(got[i]["n_links"] <= len(near[i]) for i in near) and got[500]["component_id"] == 0 and not got[500]["kept"]
+    assert len(got) == len(data) and {i: got[i]["n_links"] for i in near} == {i: len(x) for i, x in near.items()}
+    assert got[500]["component_id"] == 0 and not got[500]["kept"]
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(502, 508))
 
 
@@ -251,6 +252,34 @@ def test_embeddings_link_isolated_pairs_at_the_threshold(spark):
     assert all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] - r["vec_id"] % 2 for r in got)
 
 
+def test_embeddings_in_a_crowd(spark):
+    """Near copies in balls of several widths, repeated rows, extreme norms, an empty table."""
+    rng, data = np.random.default_rng(8), []
+    for centre, spread, n in ((0, 0.02, 120), (1, 0.05, 60), (2, 0.08, 60), (1, 0.25, 30)):
+        c = np.random.default_rng(centre).normal(size=32)
+        data += [c / np.linalg.norm(c) + rng.normal(size=32) * spread * rng.uniform(0.3, 1) for _ in range(n)]
+    data += [data[0] * 1e200, data[0] * 1e-300, data[0] * 7]
+    rows = [(1000 - i, v.tolist()) for i, v in enumerate(data)] + [(1000, data[0].tolist())]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    units = np.array([v / np.abs(v).max() for v in data])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    linked = units @ units.T >= 0.9
+    ids = [1000 - i for i in range(len(data))]
+    root = reference_components(list(range(len(data)))[::-1], lambda a, b: linked[a, b])
+    assert all(got[ids[i]]["n_links"] == linked[i].sum() - 1 for i in range(len(data)))
+    assert all(got[ids[i]]["component_id"] == ids[len(data) - 1 - root[len(data) - 1 - i]] for i in range(len(data)))
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_members_of_a_bucket_are_all_compared(spark):
+    rows = [(k, m) for k, n in ((1, 30), (2, 1), (3, 7), (4, 64)) for m in range(n)]
+    df = spark.createDataFrame(rows, "key long, m long")
+    want = {(a, b) for k in (1, 3, 4) for a, b in itertools.combinations([m for q, m in rows if q == k], 2) if (a + b) % 3 == 0}
+    for limit in (4096, 5):
+        got = buckets.compared(df, lambda c, i, j: (c["m"][i] + c["m"][j]) % 3 == 0, "m", limit).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and all(r["a"] < r["b"] for r in got)
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     table = rows()
