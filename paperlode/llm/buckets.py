@@ -13,23 +13,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, whole_groups
 
 LIMIT, AT_ONCE = 4096, 1 << 18
 
 
-def pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices (i, j), i < j, of all pairs that share a value of the sorted array `group`, some at a time."""
+def pairs_of(group: np.ndarray, kind: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j), i < j, of all pairs that share a value of the sorted array `group`, some at a time. kind: sorted
+    within each group; members of one kind are not paired, and cost nothing."""
     if not len(group):
         return
-    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    end = np.repeat(np.append(head[1:], len(group)), np.diff(np.append(head, len(group))))
-    live, gap = np.arange(len(group)), 1
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    run = new | (True if kind is None else np.concatenate([[True], kind[1:] != kind[:-1]]))
+    ends = lambda at: np.repeat(np.append(at[1:], len(group)), np.diff(np.append(at, len(group))))
+    end, first = ends(np.flatnonzero(new)), ends(np.flatnonzero(run))
+    live, gap = np.arange(len(group)), 0
     held, size = [], 0
-    while len(live := live[live + gap < end[live]]):
+    while len(live := live[first[live] + gap < end[live]]):
         for at in range(0, len(live), AT_ONCE):
-            held.append((live[at : at + AT_ONCE], live[at : at + AT_ONCE] + gap))
-            size += len(held[-1][0])
+            i = live[at : at + AT_ONCE]
+            held.append((i, first[i] + gap))
+            size += len(i)
             if size >= AT_ONCE:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held, size = [], 0
@@ -46,9 +50,10 @@ def column(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)
 
 
-def compared(filed: DataFrame, keep: Callable[[dict, np.ndarray, np.ndarray], np.ndarray], member: str, limit: int = LIMIT) -> DataFrame:
+def compared(filed: DataFrame, keep: Callable[[dict, np.ndarray, np.ndarray], np.ndarray], member: str, kind: str | None = None, limit: int = LIMIT) -> DataFrame:
     """From `key` (long), `member` (long) and columns that `keep` needs: pairs (a < b) of members of one key for which
-    keep(columns, i, j) holds; a pair that shares several keys may come several times. A member is in a key once; nothing is null."""
+    keep(columns, i, j) holds; a pair that shares several keys may come several times. A member is in a key once; nothing is
+    null. kind: a column (long); members that agree in it are not compared."""
     names = [c for c in filed.columns if c != "key"]
     big = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     big = staged(big.select(F.col("key").alias("_k"), F.ceil(F.col("n") / limit).cast("int").alias("parts")), "big-buckets")
@@ -56,15 +61,13 @@ def compared(filed: DataFrame, keep: Callable[[dict, np.ndarray, np.ndarray], np
     part = F.pmod(F.xxhash64(member), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     low, high = F.least("part", "other").cast("long"), F.greatest("part", "other").cast("long")
-    cells = dealt.select("key", (low * (1 << 31) + high).alias("cell"), "part", *names).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    cells = dealt.select("key", (low * (1 << 31) + high).alias("cell"), "part", *names).repartition("key", "cell").sortWithinPartitions("key", "cell", *([kind] if kind else []))
 
     def found(batches):
-        held: list[pa.RecordBatch] = []
-
         def pairs(table: pa.Table):
             c = {n: column(table.column(n).combine_chunks()) for n in table.column_names}
             new = np.concatenate([[True], (c["key"][1:] != c["key"][:-1]) | (c["cell"][1:] != c["cell"][:-1])])
-            for i, j in pairs_of(np.cumsum(new)):
+            for i, j in pairs_of(np.cumsum(new), c[kind] if kind else None):
                 split = (c["cell"][i] >> 31) != (c["cell"][i] & 0x7FFFFFFF)
                 ok = ~(split & (c["part"][i] == c["part"][j]))  # such a pair meets in its own part's cell
                 i, j = i[ok], j[ok]
@@ -73,19 +76,8 @@ def compared(filed: DataFrame, keep: Callable[[dict, np.ndarray, np.ndarray], np
                 once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, cell = column(batch.column(0)), column(batch.column(1))
-            last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
-            at = int(last[-1]) + 1 if len(last) else 0
-            if held and at == 0 and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) == (key[-1], cell[-1]):
-                held.append(batch)
-                continue
-            yield from pairs(pa.Table.from_batches([*held, batch.slice(0, at)], batch.schema))
-            held = [batch.slice(at)]
-        if held:
-            yield from pairs(pa.Table.from_batches(held))
+        for table in whole_groups(batches, "key", "cell"):
+            yield from pairs(table)
 
     return cells.mapInArrow(found, "a long, b long")
 

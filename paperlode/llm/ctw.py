@@ -1,97 +1,72 @@
 """Language-model scores: context-tree weighting over bytes, and a word-unigram base score.
 
-Every byte is eight binary decisions; each of the 255 decision nodes has its own context tree over the preceding bytes.
-Depths: 0 (no context), 1 (the last byte), 2 and 3 (also the class of the byte before, and of the one before that). The
-32 classes fold case and keep the letters apart. Each node of a tree has a Krichevsky-Trofimov estimate from the training
-counts; a node's weighted probability is half its own block probability and half the product of its children's, and the
-prediction mixes the estimates of all depths by the weights that this gives. A context never seen predicts as its parent.
-A text ends with a byte 255, which UTF-8 has not, so that the scores are those of one distribution over texts.
-
-The counts are of all training texts: at most 2^26 different (context, byte) pairs by construction, summed by partial
-aggregation. The trees below different last bytes are independent, so each is weighted by a task of its own (at most 2^18
-counts); only the 256 roots meet in the driver. The finished table has a row for each context seen, at most 2^18 + 2^13 +
-257 rows of 256 floats whatever the input, and goes to the workers as a broadcast.
-
-The base score joins each text's distinct words with the training counts of all words, which grow with the input and so
-are never broadcast. Null texts count as empty: one end token and byte 255. Repeated rows each get the same scores. Rows
-with null ids count as training rows. Other columns are not read.
+Every byte is eight binary decisions; each of the 255 decision nodes has its own context tree over the DEPTH bytes before.
+Each node of a tree has a Krichevsky-Trofimov estimate from the training counts; a node's weighted probability is half its
+own block probability and half the product of its children's, and the prediction mixes the estimates of all depths by the
+weights that this gives. A context never seen predicts as its parent. A text ends with a byte 255, which UTF-8 has not, so
+that the scores are those of one distribution over texts.
+
+The trees grow with the corpus: a row for every context seen, holding the decision nodes seen there. They are never brought
+together: each depth is one table, made from the next deeper one by summing over a context's at most 256 children, and then,
+from the root down, each depth takes its mixture from the one above. A (context, byte) pair that training lacks asks the
+depths from the deepest up.
+
+Texts are cut into slices of about SLICE bytes. A slice sends each distinct word and each distinct (context, byte) pair once,
+with its training count; the answers come back as arrays to the slice, where they are summed by text. So what is shuffled
+grows with distinct keys of slices, no key has more rows than there are slices, and nothing is broadcast.
+
+Null texts count as empty: one end token and byte 255. Repeated rows each get the same scores. Rows with null ids count as
+training rows. Without training rows every decision has probability one half. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, released, slices, staged, text_bytes
+from .common import discard, map_rows, slices, staged, text_bytes, whole_groups
+
+DEPTH, SLICE = 4, 8 << 20
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-END = b""
-
-
-def byte_classes() -> np.ndarray:
-    """32 classes: letters a-z with case folded (0-25), white space, digits, other ASCII, UTF-8 continuation, lead C2-C3, other."""
-    out = np.full(256, 28, np.uint8)
-    for i in range(26):
-        out[65 + i] = out[97 + i] = i
-    out[9:14] = out[32] = 26
-    out[48:58] = 27
-    out[128:192] = 29
-    out[192:] = 31
-    out[194:196] = 30
-    return out
-
-
-CLASS = byte_classes().astype(np.uint32)
-
-
-def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text and its end: last byte << 18 | class << 13 | class << 8 | byte; and where texts start."""
-    raw = np.frombuffer(b"".join(b"\0\0\0" + t + b"\xff" for t in texts), np.uint8)
-    size = np.array([len(t) + 4 for t in texts], np.int64)
-    starts = np.cumsum(size) - size
-    code = np.zeros(len(raw), np.uint32)
-    wide = raw.astype(np.uint32)
-    code[3:] = (wide[2:-1] << 18) | (CLASS[raw[1:-2]] << 13) | (CLASS[raw[:-3]] << 8) | wide[3:]
-    keep = np.ones(len(raw), bool)
-    for k in range(3):
-        keep[starts + k] = False
-    return code[keep], starts - 3 * np.arange(len(texts))
+#: The decision nodes of each byte (1..255, the root is 1), and the bits taken there.
+_PATH = np.array([[(256 + b) >> (8 - k) for k in range(8)] for b in range(256)], np.int64)
+_BITS = np.array([[(b >> (7 - k)) & 1 for k in range(8)] for b in range(256)], np.int64)
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """code, n over all texts of `text` (binary)."""
+def is_held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
-    def apply(batches):
-        held, sizes = [], 0
 
-        def merged():
-            key = np.concatenate([k for k, _ in held])
-            n = np.concatenate([n for _, n in held])
-            which, found = pd.factorize(key)
-            return found, np.bincount(which, n, len(found)).astype(np.int64)
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
-        for batch in batches:
-            for part in slices(batch):
-                which, found = pd.factorize(coded([t or b"" for t in part.column(0).to_pylist()])[0])
-                held.append((found, np.bincount(which, minlength=len(found))))
-                sizes += len(found)
-                if sizes > 2_000_000:
-                    held = [merged()]
-                    sizes = len(held[0][0])
-        if held:
-            found, n = merged()
-            for at in range(0, len(found), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 100_000].astype(np.int64)), pa.array(n[at : at + 100_000].astype(np.int64))], ["code", "n"])
 
-    return train.select("text").mapInArrow(apply, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def coded(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text and its end: the bytes before (the nearest lowest) << 8 | byte; and where texts start."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(b"".join(b"\0" * depth + t + b"\xff" for t in texts), np.uint8)
+    size = np.array([len(t) + 1 for t in texts], np.int64)
+    starts = np.cumsum(size) - size
+    n = len(raw) - depth
+    code = np.zeros(n, np.int64)
+    for k in range(depth + 1):
+        code = (code << 8) | raw[k : k + n]
+    keep = np.ones(n, bool)
+    between = (starts[1:] + depth * np.arange(len(texts) - 1))[:, None] + np.arange(depth)
+    keep[between.ravel()] = False
+    return code[keep], starts
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -108,149 +83,298 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - math.log(math.pi) - lgamma(zeros + ones + 1.0)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(..., 256) byte counts -> (..., 255) zeros and ones of the decision nodes 1..255, most significant bit first."""
-    zeros, ones, level = [], [], counts.astype(np.float64)
-    while level.shape[-1] > 1:
-        zeros.append(level[..., 0::2])
-        ones.append(level[..., 1::2])
-        level = level[..., 0::2] + level[..., 1::2]
-    return np.concatenate(zeros[::-1], -1), np.concatenate(ones[::-1], -1)
-
-
-def weighted(zeros: np.ndarray, ones: np.ndarray, log_children: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A node's own chance of a one, its log weighted probability, and the weight of its own estimate against its children's."""
-    own = log_kt(zeros, ones)
-    total = own if log_children is None else np.logaddexp(own, log_children) - math.log(2)
-    weight = np.ones_like(own) if log_children is None else np.exp(own - math.log(2) - total)
-    return (ones + 0.5) / (zeros + ones + 1), total, weight
-
-
-def tree(rows: pd.DataFrame) -> pd.DataFrame:
-    """The trees below one last byte. Rows out: kind 3 (a context), 2 (a class after the byte), 1 (the byte), each with the 255 chances of a one, and kind 0: the log weighted probabilities, zeros and ones of the byte's node."""
-    code, n = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-    last = int(code[0] >> 18)
-    leaf, where = np.unique(code >> 8, return_inverse=True)
-    counts = np.zeros((len(leaf), 256))
-    np.add.at(counts, (where, code & 255), n)
-    z3, o3 = decisions(counts)
-    mid, up = np.unique(leaf >> 5, return_inverse=True)
-    z2, o2, c2 = (np.zeros((len(mid), 255)) for _ in range(3))
-    p3, l3, _ = weighted(z3, o3, None)
-    for into, of in ((z2, z3), (o2, o3), (c2, l3)):
-        np.add.at(into, up, of)
-    k2, l2, w2 = weighted(z2, o2, c2)
-    z1, o1 = z2.sum(0), o2.sum(0)
-    k1, l1, w1 = weighted(z1, o1, l2.sum(0))
-    k2 = np.where(z2 + o2 > 0, k2, k1)
-    k3 = np.where(z3 + o3 > 0, p3, k2[up])
-    full = w1 * k1 + (1 - w1) * (w2[up] * k2[up] + (1 - w2[up]) * k3)
-    part = w1 * k1 + (1 - w1) * k2
-    out = [(3, int(c), p) for c, p in zip(leaf, full, strict=True)] + [(2, int(c), p) for c, p in zip(mid, part, strict=True)] + [(1, last, k1)]
-    out = [(k, c, p.astype(np.float32).tolist(), None) for k, c, p in out]
-    return pd.DataFrame([*out, (0, last, None, np.concatenate([l1, z1, o1]).tolist())], columns=["kind", "context", "ones", "node"])
-
-
-class Model:
-    """log10 of each byte's probability after each context: row index[last byte << 10 | class << 5 | class] of `table`."""
-
-    def __init__(self, rows: list):
-        node = np.array([r["node"] for r in rows if r["kind"] == 0]).reshape(-1, 3, 255)
-        zeros, ones = node[:, 1].sum(0), node[:, 2].sum(0)
-        k0, _, w0 = weighted(zeros, ones, node[:, 0].sum(0))
-        kept = [r for r in rows if r["kind"] > 0]
-        chance = np.array([r["ones"] for r in kept], np.float32).reshape(-1, 255)
-        self.table = np.empty((len(kept) + 1, 256), np.float32)
-        for at in range(0, len(kept), 4096):
-            p = w0 * k0 + (1 - w0) * chance[at : at + 4096]
-            self.table[at : at + 4096][: len(p)] = self.bytes(p)
-        self.table[-1] = self.bytes(k0[None])[0]
-        self.index = np.full(1 << 18, len(kept), np.int32)
-        for kind, width in ((1, 10), (2, 5), (3, 0)):
-            for i, r in enumerate(kept):
-                if r["kind"] == kind:
-                    self.index[r["context"] << width : (r["context"] + 1) << width] = i
-
-    @staticmethod
-    def bytes(ones: np.ndarray) -> np.ndarray:
-        """(n, 255) chances of a one -> (n, 256) log10 byte probabilities."""
-        ones = np.clip(ones, 1e-12, 1 - 1e-12)
-        out = np.zeros((len(ones), 1))
-        for depth in range(8):
-            node = ones[:, (1 << depth) - 1 : (2 << depth) - 1]
-            out = np.stack([out + np.log10(1 - node), out + np.log10(node)], 2).reshape(len(ones), -1)
-        return out
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        code, starts = coded(texts)
-        return np.add.reduceat(self.table[self.index[code >> 8], code & 255].astype(np.float64), starts)
+#: A row for each context: its nodes (a byte each), and for each node the zeros and ones seen, the log weighted probability
+#: and the weight of the own estimate against the children's (float64 each).
+LEVEL = "ctx long, nodes binary, zeros binary, ones binary, weighted binary, own binary"
+#: From the root down: the chance of a one if the context ends here, and for the children the mixture so far and what is left.
+MIXED = "ctx long, nodes binary, chance binary, mixed binary, left binary"
 
 
-def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
+def _flat(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64)
 
 
-def fit(train: DataFrame) -> Model:
-    """train: `text` as binary. The rows that come to the driver are bounded by the number of contexts (see above)."""
-    counts = released(staged(counted(train), "ctw-counts"))
-    trees = counts.withColumn("last", F.shiftright("code", 18)).groupBy("last").applyInPandas(lambda key, rows: tree(rows), "kind int, context long, ones array<float>, node array<double>")
-    trees = staged(trees, "ctw-trees")
-    return Model(trees.collect())
+def _nodes(column) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of all rows, and the row of each."""
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), np.uint8).astype(np.int64), np.repeat(np.arange(len(held)), [len(x) for x in held])
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """word (binary; END for the end of a text), c: over all tokens of the training texts."""
+def _packed(row: np.ndarray, rows: int, *flat: np.ndarray) -> list[list[bytes]]:
+    """Cuts flat arrays, sorted by row, into a byte string a row."""
+    cuts = np.searchsorted(row, np.arange(rows + 1)).tolist()
+    return [[f[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for f in flat]
+
+
+def _level(ctx: np.ndarray, row: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None) -> pa.RecordBatch:
+    """The batch of a level from sums over (row, node) pairs, in any order: row is an index into ctx."""
+    key, at = np.unique(row * 256 + node, return_inverse=True)
+    z, o = np.bincount(at, zeros, len(key)), np.bincount(at, ones, len(key))
+    own = log_kt(z, o)
+    total, weight = own, np.ones_like(own)
+    if children is not None:
+        total = np.logaddexp(own, np.bincount(at, children, len(key))) - math.log(2)
+        weight = np.exp(own - math.log(2) - total)
+    packed = _packed(key // 256, len(ctx), (key % 256).astype(np.uint8), z, o, total, weight)
+    return pa.RecordBatch.from_arrays([pa.array(ctx), *map(pa.array, packed)], ["ctx", "nodes", "zeros", "ones", "weighted", "own"])
+
+
+def leaves(counts: DataFrame) -> DataFrame:
+    """The deepest level, from code, n > 0."""
+
+    def apply(batches):
+        for t in whole_groups(batches, "ctx"):
+            code, n = t.column("code").to_numpy(), t.column("n").to_numpy()
+            ctx, row = np.unique(code >> 8, return_inverse=True)
+            byte = code & 255
+            bits = _BITS[byte]
+            yield _level(ctx, np.repeat(row, 8), _PATH[byte].ravel(), ((1 - bits) * n[:, None]).ravel(), (bits * n[:, None]).ravel(), None)
+
+    rows = counts.select(F.shiftright("code", 8).alias("ctx"), "code", "n")
+    return rows.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(apply, LEVEL)
+
+
+def above(level: DataFrame, depth: int) -> DataFrame:
+    """The level of `depth`, from the one below it."""
+
+    def apply(batches):
+        for t in whole_groups(batches, "parent"):
+            parent, row = np.unique(t.column("parent").to_numpy(), return_inverse=True)
+            node, of = _nodes(t.column("nodes"))
+            yield _level(parent, row[of], node, _flat(t.column("zeros")), _flat(t.column("ones")), _flat(t.column("weighted")))
+
+    rows = level.select((F.col("ctx") % (1 << 8 * depth)).alias("parent"), "nodes", "zeros", "ones", "weighted")
+    return rows.repartition("parent").sortWithinPartitions("parent").mapInArrow(apply, LEVEL)
+
+
+def below(level: DataFrame, parents: DataFrame | None, depth: int) -> DataFrame:
+    """MIXED rows of a level from those of the level above it (None at the root)."""
+    root = parents is None
+
+    def apply(batches):
+        for t in whole_groups(batches, "parent"):
+            mine = t.filter(t.column("ctx").is_valid())
+            node, of = _nodes(mine.column("nodes"))
+            zeros, ones, own = (_flat(mine.column(c)) for c in ("zeros", "ones", "own"))
+            mixed, left = np.zeros(len(node)), np.ones(len(node))
+            if not root:
+                theirs = t.filter(t.column("ctx").is_null())
+                over, by = _nodes(theirs.column("nodes"))
+                number = theirs.column("parent").to_numpy()
+                place = np.searchsorted(number * 256, mine.column("parent").to_numpy() * 256)
+                at = np.searchsorted(by * 256 + over, place[of] * 256 + node)  # a child's nodes are among its parent's
+                mixed, left = _flat(theirs.column("mixed"))[at], _flat(theirs.column("left"))[at]
+            chance = (ones + 0.5) / (zeros + ones + 1)
+            packed = _packed(of, mine.num_rows, mixed + left * chance, mixed + left * own * chance, left * (1 - own))
+            yield pa.RecordBatch.from_arrays([mine.column("ctx").combine_chunks(), mine.column("nodes").combine_chunks(), *map(pa.array, packed)], ["ctx", "nodes", "chance", "mixed", "left"])
+
+    none = F.lit(None).cast("binary")
+    rows = level.select((F.col("ctx") % (1 << 8 * max(0, depth - 1))).alias("parent"), "ctx", "nodes", "zeros", "ones", "own", none.alias("mixed"), none.alias("left"))
+    if not root:
+        rows = rows.unionByName(parents.select(F.col("ctx").alias("parent"), F.lit(None).cast("long").alias("ctx"), "nodes", none.alias("zeros"), none.alias("ones"), none.alias("own"), "mixed", "left"))
+    return rows.repartition("parent").sortWithinPartitions("parent", F.col("ctx").asc_nulls_first()).mapInArrow(apply, MIXED)
+
+
+def trees(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
+    """MIXED tables by depth, staged, from code, n > 0."""
+    levels = [staged(leaves(counts), "ctw-level")]
+    for d in range(depth - 1, -1, -1):
+        levels.append(staged(above(levels[-1], d), "ctw-level"))
+    out: list[DataFrame] = []
+    for d, level in enumerate(levels[::-1]):
+        out.append(staged(below(level, out[-1] if out else None, d), "ctw-mixed"))
+        discard(level)
+    return out
+
+
+def asked(codes: DataFrame, mixed: list[DataFrame]) -> DataFrame:
+    """code, value (log10 of the byte's probability after its context) for distinct `code`s, by the depths from the deepest up."""
 
     def make():
         def f(c):
-            n: Counter = Counter()
-            for t in c[0]:
-                n.update(_WORDS((t or b"").translate(_LOWER)))
-            n[END] += len(c[0])
-            return {"word": list(n), "n": list(n.values())}
+            out = []
+            for code, chance, nodes, ones in zip(*c, strict=True):
+                p = np.frombuffer(chance, np.float64)
+                if nodes is not None and np.isnan(p).any():
+                    have, path = np.frombuffer(nodes, np.uint8), _PATH[code & 255]
+                    at = np.minimum(np.searchsorted(have, path), len(have) - 1)
+                    p = np.where(np.isnan(p) & (have[at] == path), np.frombuffer(ones, np.float64)[at], p)
+                out.append(p.tobytes())
+            return {"code": c[0], "chance": out}
 
         return f
 
-    return map_rows(train.select("text"), make, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    rows = codes.select("code", F.lit(np.full(8, np.nan).tobytes()).alias("chance"))
+    for d in range(len(mixed) - 1, -1, -1):
+        level = mixed[d].select("ctx", "nodes", F.col("chance").alias("ones"))
+        joined = rows.join(level, F.shiftright("code", 8) % (1 << 8 * d) == F.col("ctx"), "left").select("code", "chance", "nodes", "ones")
+        rows = map_rows(joined, make, "code long, chance binary")
 
+    def valued():
+        def f(c):
+            p = np.frombuffer(b"".join(c[1]), np.float64).reshape(-1, 8)
+            code = np.array(c[0], np.int64)
+            p = np.where(np.isnan(p), 0.5, p)
+            return {"code": code, "value": np.log10(np.where(_BITS[code & 255] == 1, p, 1 - p)).sum(1)}
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = df.sparkSession
-    docs = text_bytes(df, id_col, text_col)
-    train = docs.where(~held_out())
-    model = spark.sparkContext.broadcast(fit(train))
-    counts = released(staged(word_counts(train), "words"))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        return f
 
-    def parts(c):
-        """Tells rows of one id with different texts apart."""
-        import xxhash
+    return map_rows(rows, valued, "code long, value double")
 
-        return [xxhash.xxh64_intdigest(repr(i).encode() + b" " + (t or b"")) - (1 << 63) for i, t in zip(c[0], c[1], strict=True)]
 
-    def scored():
-        return lambda c: {"doc_id": c[0], "part": parts(c), "score": model.value.scores([t or b"" for t in c[1]]), "n_tokens": [len(_WORDS(t or b"")) + 1 for t in c[1]]}
+def known(mixed: DataFrame) -> DataFrame:
+    """code, value for every pair that training has, from the deepest level (a byte was seen where its last decision was)."""
 
-    def worded():
-        def f(c):
-            found = [Counter(_WORDS((t or b"").translate(_LOWER))) for t in c[1]]
-            for n in found:
-                n[END] = 1
-            return {"doc_id": c[0], "part": parts(c), "words": [list(n) for n in found], "times": [list(n.values()) for n in found]}
+    def apply(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                ctx = part.column(0).to_numpy()
+                node, row = _nodes(part.column(1))
+                chance = np.full((len(ctx), 256), np.nan)
+                chance[row, node] = _flat(part.column(2))
+                value = np.zeros((len(ctx), 256))
+                for k in range(8):
+                    p = chance[:, _PATH[:, k]]
+                    value += np.log10(np.where(_BITS[:, k] == 1, p, 1 - p))
+                r, byte = np.nonzero(~np.isnan(value))
+                yield pa.RecordBatch.from_arrays([pa.array(ctx[r] << 8 | byte), pa.array(value[r, byte])], ["code", "value"])
+
+    return mixed.select("ctx", "nodes", "chance").mapInArrow(apply, "code long, value double")
+
+
+def values(codes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """code, value for distinct codes with their training counts n (0 for those that only held-out texts have)."""
+    mixed = trees(codes.where("n > 0"), depth)
+    # a byte's last decision also stands for its sibling: the pairs that were not asked for go in the join
+    seen = known(mixed[-1]).join(codes.where("n > 0").select("code"), "code")
+    return seen.unionByName(asked(codes.where("n = 0"), mixed))
+
+
+def sliced(docs: DataFrame, size: int = SLICE) -> DataFrame:
+    """sid, ids, lengths, pack: consecutive texts of together about `size` bytes (one may be longer), zstd-compressed."""
+
+    def apply(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        ids, texts, total = [], [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([z.compress(b"".join(texts))])], ["ids", "lengths", "pack"])
+
+        for batch in batches:
+            for part in slices(batch):
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if texts and total + len(t or b"") > size:
+                        yield row()
+                        ids, texts, total = [], [], 0
+                    ids.append(i)
+                    texts.append(t or b"")
+                    total += len(texts[-1])
+        if texts:
+            yield row()
+
+    return docs.mapInArrow(apply, "ids array<long>, lengths array<long>, pack binary").select(F.monotonically_increasing_id().alias("sid"), "*")
+
+
+def _texts(lengths: list[int], pack: bytes) -> list[bytes]:
+    import zstandard
+
+    raw, cuts = zstandard.ZstdDecompressor().decompress(pack), np.concatenate([[0], np.cumsum(lengths)]).tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _word_keys(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
 
-        return f
 
-    rows = map_rows(docs, scored, "doc_id long, part long, score double, n_tokens long")
-    each = map_rows(docs, worded, "doc_id long, part long, words array<binary>, times array<long>").select("doc_id", "part", F.explode(F.arrays_zip("words", "times")).alias("w"))
-    each = each.select("doc_id", "part", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    known = each.join(counts, "word", "left").select("doc_id", "part", "times", F.coalesce("c", F.lit(0)).alias("c"))
-    base = F.log10((F.col("c") + 1) / F.lit(float(total + distinct + 1)))
-    sums = known.groupBy("doc_id", "part").agg(F.sum("times").alias("tokens"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * base).alias("base"))
-    # a repeated row's words were counted once for each copy
-    copies = F.col("tokens") / F.col("n_tokens")
-    sums = sums.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p"), "tokens", "known", "base")
-    out = rows.join(sums, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("part") == F.col("_p")))
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", F.round(F.col("known") / copies).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") / copies).alias("base_score"), "score")
+def _one_by_one(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in batch.columns]
+
+
+def word_rows(cut: DataFrame) -> DataFrame:
+    """key (hash of a word; 0 stands for the end of a text), sid, n (times in the slice's training texts): each distinct word of a slice once."""
+
+    def apply(batches):
+        for sid, ids, lengths, pack in _one_by_one(batches):
+            texts = _texts(lengths, pack)
+            train = [not is_held_out(i) for i in ids]
+            n: Counter = Counter(_WORDS(b" ".join(t for t, x in zip(texts, train, strict=True) if x).translate(_LOWER)))
+            for w in set(_WORDS(b" ".join(t for t, x in zip(texts, train, strict=True) if not x).translate(_LOWER))):
+                n.setdefault(w, 0)
+            key, times = np.append(_word_keys(list(n)), 0), np.append(np.fromiter(n.values(), np.int64, len(n)), sum(train))
+            for at in range(0, len(key), 1 << 17):
+                part = np.s_[at : at + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.full(len(key[part]), sid)), pa.array(times[part])], ["key", "sid", "n"])
+
+    return cut.select("sid", "ids", "lengths", "pack").mapInArrow(apply, "key long, sid long, n long")
+
+
+def code_rows(cut: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """code, sid, n: each distinct (context, byte) pair of a slice once."""
+
+    def apply(batches):
+        for sid, ids, lengths, pack in _one_by_one(batches):
+            texts = _texts(lengths, pack)
+            n: dict[bool, tuple] = {}
+            for held in (False, True):
+                which, found = pd.factorize(coded([t for i, t in zip(ids, texts, strict=True) if is_held_out(i) == held], depth)[0])
+                n[held] = found, np.bincount(which, minlength=len(found))
+            new = n[True][0][~np.isin(n[True][0], n[False][0])]
+            code, times = np.concatenate([n[False][0], new]), np.concatenate([n[False][1], np.zeros(len(new), np.int64)]).astype(np.int64)
+            for at in range(0, len(code), 1 << 17):
+                part = np.s_[at : at + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(code[part]), pa.array(np.full(len(code[part]), sid)), pa.array(times[part])], ["code", "sid", "n"])
+
+    return cut.select("sid", "ids", "lengths", "pack").mapInArrow(apply, "code long, sid long, n long")
+
+
+def _looked_up(keys: np.ndarray, values_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    by = np.argsort(keys)
+    return values_[by[np.searchsorted(keys, wanted, sorter=by)]]
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, size: int = SLICE) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length, the end counted as a byte)."""
+    cut = staged(sliced(text_bytes(df, id_col, text_col), size), "ctw-slices")
+
+    every = W.partitionBy("key")  # a key has at most one row for each slice
+    words = word_rows(cut).select("key", "sid", "n", F.sum("n").over(every).alias("c"), (F.min("sid").over(every) == F.col("sid")).alias("first"))
+    fresh = F.count_if(F.col("first") & (F.col("c") > 0))
+    words = staged(words.groupBy("sid").agg(F.collect_list("key").alias("keys"), F.collect_list("c").alias("counts"), F.sum("n").alias("n"), fresh.alias("v")), "ctw-words")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    codes = staged(code_rows(cut, depth).groupBy("code").agg(F.sum("n").alias("n")), "ctw-codes")
+    value = staged(values(codes, depth).select("code", F.col("value").cast("float").alias("value")), "ctw-values")
+    found = code_rows(cut, depth).select("code", "sid").join(value, "code").groupBy("sid").agg(F.collect_list("code").alias("codes"), F.collect_list("value").alias("values"))
+
+    def apply(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                ids, lengths, pack = (row.column(k)[0].as_py() for k in range(3))
+                keys, counts, at, values_ = (row.column(k).flatten().to_numpy() for k in range(3, 7))
+                texts = _texts(lengths, pack)
+                index: dict[bytes, int] = {}
+                of = [np.array([index.setdefault(w, len(index)) for w in _WORDS(t.translate(_LOWER))], np.int64) for t in texts]
+                c = np.append(_looked_up(keys, counts, _word_keys(list(index))) if index else np.zeros(0, np.int64), _looked_up(keys, counts, np.array([0])))
+                sizes = np.array([len(x) + 1 for x in of], np.int64)
+                c = c[np.concatenate([y for x in of for y in (x, [len(index)])])]
+                starts = np.cumsum(sizes) - sizes
+                code, begin = coded(texts, depth)
+                which, distinct_ = pd.factorize(code)
+                bits = np.add.reduceat(_looked_up(at, values_, distinct_).astype(np.float64)[which], begin)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(np.log10(c + 1.0), starts)), pa.array(bits), pa.array(bits * (-math.log2(10)) / (np.array(lengths) + 1))],
+                    ["doc_id", "n_tokens", "n_known", "base", "score", "bits_per_byte"],
+                )
+
+    rows = cut.join(words, "sid").join(found, "sid").select("ids", "lengths", "pack", "keys", "counts", "codes", "values")
+    rows = rows.mapInArrow(apply, "doc_id long, n_tokens long, n_known long, base double, score double, bits_per_byte double")
+    out_of = math.log10(total + distinct + 1)
+    return rows.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * out_of).alias("base_score"), "score", "bits_per_byte")

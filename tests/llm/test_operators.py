@@ -218,12 +218,63 @@ def test_ctw(docs, none):
     assert ctw.score(none).count() == 0
 
 
-def test_ctw_probabilities_sum_to_one(docs):
-    model = ctw.fit(docs.select(F.col("text").cast("binary").alias("text")))
-    total = (10.0 ** model.table.astype(np.float64)).sum(1)
-    assert np.allclose(total, 1, atol=1e-4)
+def plain_ctw(train, texts, depth):
+    """log10 of each text's probability under context trees kept as dictionaries."""
+    count: dict = {}
+    for t in train:
+        padded = b"\0" * depth + t + b"\xff"
+        for i in range(depth, len(padded)):
+            for k in range(8):
+                for d in range(depth + 1):
+                    count.setdefault((padded[i - d : i], (256 + padded[i]) >> (8 - k)), [0, 0])[padded[i] >> (7 - k) & 1] += 1
+    kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+    children: dict = {}
+    for c, n in count:
+        if c:
+            children.setdefault((c[1:], n), []).append((c, n))
+
+    def weigh(key):
+        own = kt(*count[key])
+        if len(key[0]) == depth:
+            return own, 1.0
+        total = math.log(0.5 * math.exp(own) + 0.5 * math.exp(sum(weigh(c)[0] for c in children[key])))
+        return total, math.exp(own - math.log(2) - total)
+
+    def chance(context, node):
+        p, left = 0.0, 1.0
+        for d in range(depth + 1):
+            key = (context[len(context) - d :], node)
+            z, o = count.get(key, (0, 0))
+            k = (o + 0.5) / (z + o + 1)
+            after = (context[len(context) - d - 1 :], node)
+            if d == depth or after not in count:
+                return p + left * k
+            w = weigh(key)[1]
+            p, left = p + left * w * k, left * (1 - w)
+
+    out = []
+    for t in texts:
+        padded, total = b"\0" * depth + t + b"\xff", 0.0
+        for i in range(depth, len(padded)):
+            for k in range(8):
+                p = chance(padded[i - depth : i], (256 + padded[i]) >> (8 - k))
+                total += math.log10(p if padded[i] >> (7 - k) & 1 else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_ctw_against_plain_trees(spark):
+    texts = [b"abracadabra", b"abra cadabra", b"", b"banana bandana", "é è".encode(), b"zzz", b"abracadabra", b"cab", b"b", b"a long banana, abra"] * 2
+    rows = [(i, t.decode()) for i, t in enumerate(texts)]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 0 < len(train) < len(texts)
+    for depth, size in ((4, 8 << 20), (2, 20)):
+        got = dict(ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth, size=size).select("doc_id", "score").collect())
+        for i, want in enumerate(plain_ctw(train, texts, depth)):
+            assert got[i] == pytest.approx(want, rel=1e-5)
+    one = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 == 2][:1]  # no training text: every decision is a half
+    assert ctw.score(spark.createDataFrame(one, "doc_id long, text string")).first()["score"] == pytest.approx(-(len(one[0][1].encode()) + 1) * 8 * math.log10(2))
     assert np.allclose(ctw.lgamma(np.array([0.5, 1.5, 10.0])), [math.lgamma(x) for x in (0.5, 1.5, 10.0)])
-    assert ctw.log_kt(np.array([2.0]), np.array([1.0]))[0] == pytest.approx(math.log(0.5 * 0.75 / 6 * 1))
 
 
 def test_embeddings(spark):
@@ -276,8 +327,11 @@ def test_members_of_a_bucket_are_all_compared(spark):
     df = spark.createDataFrame(rows, "key long, m long")
     want = {(a, b) for k in (1, 3, 4) for a, b in itertools.combinations([m for q, m in rows if q == k], 2) if (a + b) % 3 == 0}
     for limit in (4096, 5):
-        got = buckets.compared(df, lambda c, i, j: (c["m"][i] + c["m"][j]) % 3 == 0, "m", limit).collect()
+        got = buckets.compared(df, lambda c, i, j: (c["m"][i] + c["m"][j]) % 3 == 0, "m", limit=limit).collect()
         assert {(r["a"], r["b"]) for r in got} == want and all(r["a"] < r["b"] for r in got)
+        kinds = df.withColumn("kind", (F.col("m") % 4).cast("long"))
+        got = buckets.compared(kinds, lambda c, i, j: (c["m"][i] + c["m"][j]) % 3 == 0, "m", "kind", limit).collect()
+        assert {(r["a"], r["b"]) for r in got} == {(a, b) for a, b in want if (a - b) % 4}
 
 
 def test_mixing(spark, docs, none):
