@@ -19,13 +19,15 @@ component of their fingerprint. Columns other than the id and text are not read.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, released, staged, text_bytes
+from .buckets import compared, differing
+from .common import discard, map_rows, staged, text_bytes
 from .components import components
 
 BITS, BLOCKS, WIDTH, SEED, CROWDED = 4, 6, 4, 42, 4096
@@ -122,11 +124,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near duplicates by true Jaccard similarity: MinHash bands of ROWS values each propose pairs, the shingle sets decide. Two
-#: sets alike by 0.8 share none of the BANDS with probability (1 - 0.8^3)^24 = 3e-8. FIRST of the bands make stars.
-BANDS, ROWS, FIRST, CHUNK = 24, 3, 4, 512
+#: Wide fingerprints: the chance that a pair at the similarity shares no block, and how far their Hamming distance may lie
+#: above its mean, in standard deviations (3e-5). Of the blocks, FIRST make stars.
+MISS, SPREAD, FIRST = 1e-2, 4, 8
+#: Bits of a fingerprint that are compared within a block before the whole.
+SKETCH = 256
 
-_SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64)[:, None]
+
+def differing_share(similarity: float) -> float:
+    """Share of the bits that differ between the fingerprints of two sets of one size with this Jaccard similarity: the
+    angle between them over pi (Charikar, 2002)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_shape(rows: int, similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """Blocks and bits of a block: about four unrelated texts share a block's value, however many there are."""
+    width = max(16, math.ceil(math.log2(max(1, rows))) - 2)
+    agree = (1 - differing_share(similarity)) ** width
+    return math.ceil(math.log(miss) / math.log(1 - agree)), width
+
+
+def most_differing(bits: int, similarity: float) -> int:
+    p = differing_share(similarity)
+    return math.floor(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -134,21 +154,26 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text or b"", width), np.uint64))
 
 
-def min_hashes(h: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS MinHash values of a set that is not empty."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for start in range(0, len(h), 4096):
-        x = (h[None, start : start + 4096] ^ _SALTS) * np.uint64(0xBF58476D1CE4E5B9)
+def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set in words * 64 bits, as bytes."""
+    salts = np.random.default_rng(SEED).integers(0, 1 << 64, words, np.uint64)
+    ones = np.zeros(64 * words, np.int64)
+    for start in range(0, len(h), 2048):
+        x = (h[start : start + 2048, None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x94D049BB133111EB)
-        least = np.minimum(least, x.min(1))
-    return least
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(h))
 
 
-def least_matches(similarity: float) -> int:
-    """MinHash values that two sets this alike share at least: six standard deviations below what is expected."""
-    n = BANDS * ROWS
-    return max(0, int(np.floor(n * similarity - 6 * (n * similarity * (1 - similarity)) ** 0.5)))
+def block_keys(fp: np.ndarray, blocks: int, width: int) -> np.ndarray:
+    """(n, blocks) from (n, bytes): each block's value with the block's number, as longs."""
+    bits = np.unpackbits(fp, axis=1)[:, : blocks * width].reshape(len(fp), blocks, width)
+    value = np.zeros((len(fp), blocks), np.int64)
+    for k in range(width):
+        value = (value << 1) | bits[:, :, k]
+    return (value << 20) | np.arange(blocks)
 
 
 def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -157,54 +182,48 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def _candidates(key: np.ndarray, root: np.ndarray, size: np.ndarray, marks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of one key and different roots whose sizes allow the similarity and whose marks agree often enough."""
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least, out = least_matches(similarity), [np.zeros((0, 2), np.int64)]
-    for start, end in itertools.pairwise([*head.tolist(), len(key)]):
-        for a in range(start, end, CHUNK):
-            for b in range(start, a + 1, CHUNK):
-                i, j = np.s_[a : min(a + CHUNK, end)], np.s_[b : min(b + CHUNK, end)]
-                fit = np.minimum(size[i, None], size[None, j]) >= similarity * np.maximum(size[i, None], size[None, j]) - 1e-9
-                x, y = np.nonzero(fit & (root[i, None] != root[None, j]))
-                x, y = x + a, y + b
-                x, y = x[x > y], y[x > y]
-                for at in range(0, len(x), 1 << 16):
-                    u, v = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
-                    close = (marks[u] == marks[v]).sum(1) >= least
-                    out.append(np.stack([u[close], v[close]], 1))
-    pairs = np.concatenate(out)
-    return pairs[:, 0], pairs[:, 1]
-
-
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """Of pairs (a, b) of nodes those whose shingle sets are alike, staged. texts: part, text; only those of the pairs go on."""
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = staged(ids.join(nodes.select("node", "part"), "node"), "near-ids")
-    need = released(staged(texts.join(ids, "part").dropDuplicates(["part"]).select("node", "text"), "near-texts"))
+    need = staged(texts.join(ids, "part").dropDuplicates(["part"]).select("node", "text"), "near-texts")
 
     def make():
+        held: dict[bytes, np.ndarray] = {}
+
+        def known(t):
+            if t not in held:
+                if len(held) >= 64:
+                    held.clear()
+                held[t] = shingle_set(t, width)
+            return held[t]
+
         def f(c):
-            good = [(a, b) for a, b, x, y in zip(*c, strict=True) if alike(shingle_set(x, width), shingle_set(y, width), similarity)]
+            good = [(a, b) for a, b, x, y in zip(*c, strict=True) if alike(known(x), known(y), similarity)]
             return {"a": [a for a, _ in good], "b": [b for _, b in good]}
 
         return f
 
     both = pairs.join(need.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(need.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    out = released(staged(map_rows(both.select("a", "b", "x", "y"), make, "a long, b long"), "near-links"))
+    out = staged(map_rows(both.select("a", "b", "x", "y"), make, "a long, b long"), "near-links")
     discard(need)
+    discard(ids)
     return out
 
 
-def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
     """doc_id, part (a hash of the text), root: one row for each row; rows share a root if links of this Jaccard similarity
     join their shingle sets.
 
-    A node is a distinct shingle set, whatever ids its rows have. The first bands link each member of a band value to the least
-    one there; what of that is verified gives components. Then all bands propose every pair whose ends are not yet in
-    one component, so no link that the bands can see is left out, and a large cluster does not cost its square. Every link is
-    verified on the sets themselves. Null and empty texts are one node.
+    A node is a distinct shingle set, whatever ids its rows have. Its SimHash is wide enough for so many blocks that a pair at
+    the similarity shares one but for `miss`. In the first blocks each member of a value is tried with the least one there,
+    which makes most of a large group one component at a cost that grows with its members; then all blocks propose every
+    pair of different components. A proposed pair's Hamming distance is checked, then the sets themselves, so that every link
+    is a true one. Null and empty texts are one node.
     """
+    blocks, bits = wide_shape(df.count(), similarity, miss)
+    words = -(-blocks * bits // 64)
+    most = most_differing(64 * words, similarity)
 
     def make():
         import xxhash
@@ -213,70 +232,72 @@ def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str =
 
         def f(c):
             sets = [shingle_set(t, width) for t in c[2]]
-            mins = [min_hashes(h) if len(h) else None for h in sets]
             return {
                 "doc_id": c[0], "part": c[1], "node": [signed(xxhash.xxh64_intdigest(h.tobytes(), width)) for h in sets], "size": [len(h) for h in sets],
-                "marks": [b"" if m is None else (m & np.uint64(255)).astype(np.uint8).tobytes() for m in mins],
-                "keys": [[] if m is None else [signed(xxhash.xxh64_intdigest(m[ROWS * k : ROWS * (k + 1)].tobytes(), k)) for k in range(BANDS)] for m in mins],
+                "fp": [wide_fingerprint(h, words).tobytes() if len(h) else None for h in sets],
             }
 
         return f
 
     text = F.col(text_col).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("part"), text.alias("text"))
-    docs = staged(map_rows(rows, make, "doc_id long, part long, node long, size long, marks binary, keys array<long>"), "near")
-    nodes = staged(docs.where("size > 0").select("node", "part", "size", "marks", "keys").dropDuplicates(["node"]), "near-nodes")
+    docs = staged(map_rows(rows, make, "doc_id long, part long, node long, size long, fp binary"), "near")
+    nodes = staged(docs.where("size > 0").select("node", "part", "size", "fp").dropDuplicates(["node"]), "near-nodes")
     texts = rows.select("part", "text")
 
-    first = nodes.select("node", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
-    star = first.join(first.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "key")
-    star = star.where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    for end in "ab":
-        star = star.join(nodes.select(F.col("node").alias(end), F.struct("size", "marks").alias(f"at_{end}")), end)
-    star = star.where(F.least("at_a.size", "at_b.size") >= similarity * F.greatest("at_a.size", "at_b.size") - 1e-9)
+    def filed(df: DataFrame, some: int) -> DataFrame:
+        """From node, fp and more: key, node and more, for the first `some` blocks."""
+
+        names = df.columns
+
+        def keys():
+            def f(c):
+                out = dict(zip(names, c, strict=True))
+                fp = np.frombuffer(b"".join(out["fp"]), np.uint8).reshape(len(out["fp"]), -1)
+                return out | {"keys": list(block_keys(fp, some, bits))}
+
+            return f
+
+        kinds = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+        return map_rows(df, keys, f"{kinds}, keys array<bigint>").select(*names, F.explode("keys").alias("key"))
+
+    def fits(a: str, b: str):
+        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+    first = filed(nodes.select("node", "fp"), min(FIRST, blocks)).select("node", "key")
+    def closer(pairs: DataFrame) -> DataFrame:
+        """Pairs of nodes whose sizes and whole fingerprints allow the similarity, staged."""
+        for end in "ab":
+            pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("fp").alias(f"fp_{end}")), end)
+        return staged(map_rows(pairs.where(fits("size_a", "size_b")).select("a", "b", "fp_a", "fp_b"), close, "a long, b long"), "near-pairs")
 
     def close():
         def f(c):
-            x, y = (np.frombuffer(b"".join(m), np.uint8).reshape(-1, BANDS * ROWS) for m in c[2:])
-            keep = (x == y).sum(1) >= least_matches(similarity)
+            x, y = (np.frombuffer(b"".join(m), np.uint8).reshape(len(m), -1) for m in c[2:])
+            keep = differing(x, y) <= most if len(x) else np.zeros(0, bool)
             return {"a": np.array(c[0], np.int64)[keep], "b": np.array(c[1], np.int64)[keep]}
 
         return f
 
-    star = staged(map_rows(star.select("a", "b", "at_a.marks", F.col("at_b.marks").alias("marks_b")), close, "a long, b long"), "near-stars")
+    star = first.join(first.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "key")
+    star = star.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    star = closer(star)
     sure = verified(star, nodes, texts, similarity, width)
     known = components(sure).withColumnRenamed("node", "_n")
 
-    rooted = nodes.join(known, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "marks", "keys")
-    keyed = rooted.select("node", "root", F.explode("keys").alias("key"))
-    open_keys = keyed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
-    filed = keyed.join(open_keys, "key").join(nodes.select("node", "size", "marks"), "node").select("key", "node", "root", "size", "marks")
-
-    def joined(batches):
-        import pyarrow as pa
-
-        def found(rows):
-            key, node, root, size, marks = rows
-            i, j = _candidates(key, root, size, marks, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
-
-        held: list = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            *numbers, marks = batch.columns
-            held.append((*[c.to_numpy() for c in numbers], np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue  # one key so far
-            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            end = int(np.argmax(rows[0] == rows[0][-1]))  # the last key may go on
-            held = [tuple(x[end:] for x in rows)]
-            yield found([x[:end] for x in rows])
-        if held:
-            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    more = filed.repartition("key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long").distinct()
-    more = staged(more, "near-more")
+    rooted = nodes.join(known, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "fp")
+    rooted = staged(rooted, "near-rooted")
+    halves = [F.conv(F.hex(F.substring("fp", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(SKETCH // 64)]
+    entries = filed(rooted, blocks).select("key", "node", "root", "size", *halves)
+    some = most_differing(SKETCH, similarity)
+
+    def near(c, i, j):
+        x, y = c["size"][i], c["size"][j]
+        differ = sum(np.bitwise_count(c[f"s{k}"][i] ^ c[f"s{k}"][j]).astype(np.int64) for k in range(SKETCH // 64))
+        return (differ <= some) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
+
+    more = staged(compared(entries, near, "node", "root").distinct(), "near-proposed")
+    more = closer(more)
     roots = components(sure.unionByName(verified(more, nodes, texts, similarity, width))).withColumnRenamed("node", "_n")
     return docs.select("doc_id", "part", "node").join(roots, F.col("node") == F.col("_n"), "left").select("doc_id", "part", F.coalesce("root", "node").alias("root"))
 
