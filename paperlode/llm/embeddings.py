@@ -8,7 +8,7 @@ Each class's normalised vector is projected on tables x functions Gaussian direc
 `functions` of them together, is its bucket in a table. Buckets hold balls, each once. The number of functions grows with the
 logarithm of the number of classes, so that buckets of unrelated vectors stay small, and the number of tables follows from
 MISS, the chance that two vectors at the threshold share no bucket (1e-4; nearer pairs much less). Within a bucket,
-128-bit sign sketches drop pairs of balls that are far apart (bound: six standard deviations, 1e-9, for a pair at the
+128-bit sign sketches drop pairs of balls that are far apart (bound: five standard deviations, 3e-7, for a pair at the
 threshold). Every pair of balls that is left goes, once, to exact cosines: pivots that are too far apart for any link of
 their members, or near enough for all of them, are settled by the triangle inequality; else the members are compared.
 
@@ -126,9 +126,9 @@ def hashed(classes: DataFrame, functions: int, tables: int, width: float = WIDTH
 
 
 def bound(angle):
-    """Differing bits of the sketches of two vectors at this angle, at most: the mean and six standard deviations."""
+    """Differing bits of the sketches of two vectors at this angle, at most: the mean and five standard deviations."""
     share = np.minimum(np.asarray(angle) / math.pi, 0.5)
-    return SKETCH * share + 6 * np.sqrt(SKETCH * share * (1 - share))
+    return SKETCH * share + 5 * np.sqrt(SKETCH * share * (1 - share))
 
 
 def with_cosine(pairs: DataFrame, classes: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
