@@ -11,9 +11,11 @@ together: each depth is one table, made from the next deeper one by summing over
 from the root down, each depth takes its mixture from the one above. A (context, byte) pair that training lacks asks the
 depths from the deepest up.
 
-Texts are cut into slices of about SLICE bytes. A slice sends each distinct word and each distinct (context, byte) pair once,
-with its training count; the answers come back as arrays to the slice, where they are summed by text. So what is shuffled
-grows with distinct keys of slices, no key has more rows than there are slices, and nothing is broadcast.
+Texts are cut into slices of about SLICE bytes. A slice knows its distinct words and its distinct (context, byte) pairs; it
+sends each once, with its training count, packed by parts of the key space. A part sums the counts of all slices; then each
+slice's packs meet the finished values there, and the values alone go back, in the order that the slice can make again. So
+what is shuffled grows with the distinct keys of slices at a few bytes each, a part holds its distinct keys and streams the
+packs, and nothing is broadcast. Words are told apart by 63-bit hashes.
 
 Null texts count as empty: one end token and byte 255. Repeated rows each get the same scores. Rows with null ids count as
 training rows. Without training rows every decision has probability one half. Other columns are not read.
@@ -22,22 +24,17 @@ training rows. Without training rows every decision has probability one half. Ot
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, map_rows, slices, staged, text_bytes, whole_groups
 
 DEPTH, SLICE = 4, 8 << 20
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The decision nodes of each byte (1..255, the root is 1), and the bits taken there.
 _PATH = np.array([[(256 + b) >> (8 - k) for k in range(8)] for b in range(256)], np.int64)
@@ -52,21 +49,18 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def coded(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each text and its end: the bytes before (the nearest lowest) << 8 | byte; and where texts start."""
+def coded(texts: list[bytes], depth: int = DEPTH) -> np.ndarray:
+    """For each byte of each text and its end: byte << 8 * depth | the bytes before, the nearest highest."""
     if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = np.frombuffer(b"".join(b"\0" * depth + t + b"\xff" for t in texts), np.uint8)
-    size = np.array([len(t) + 1 for t in texts], np.int64)
-    starts = np.cumsum(size) - size
+        return np.zeros(0, np.int64)
+    raw = b"".join(b"\0" * depth + t + b"\xff" for t in texts)
     n = len(raw) - depth
-    code = np.zeros(n, np.int64)
-    for k in range(depth + 1):
-        code = (code << 8) | raw[k : k + n]
+    code = np.ndarray((n,), "<u8", raw + bytes(8), strides=(1,)) & np.uint64((1 << 8 * (depth + 1)) - 1)
+    size = np.array([len(t) + 1 for t in texts], np.int64)
     keep = np.ones(n, bool)
-    between = (starts[1:] + depth * np.arange(len(texts) - 1))[:, None] + np.arange(depth)
+    between = (np.cumsum(size)[:-1] + depth * np.arange(len(texts) - 1))[:, None] + np.arange(depth)
     keep[between.ravel()] = False
-    return code[keep], starts
+    return code[keep].view(np.int64)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -119,23 +113,24 @@ def _level(ctx: np.ndarray, row: np.ndarray, node: np.ndarray, zeros: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(ctx), *map(pa.array, packed)], ["ctx", "nodes", "zeros", "ones", "weighted", "own"])
 
 
-def leaves(counts: DataFrame) -> DataFrame:
+def leaves(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The deepest level, from code, n > 0."""
+    shift = 8 * depth
 
     def apply(batches):
         for t in whole_groups(batches, "ctx"):
             code, n = t.column("code").to_numpy(), t.column("n").to_numpy()
-            ctx, row = np.unique(code >> 8, return_inverse=True)
-            byte = code & 255
+            ctx, row = np.unique(t.column("ctx").to_numpy(), return_inverse=True)
+            byte = code >> shift
             bits = _BITS[byte]
             yield _level(ctx, np.repeat(row, 8), _PATH[byte].ravel(), ((1 - bits) * n[:, None]).ravel(), (bits * n[:, None]).ravel(), None)
 
-    rows = counts.select(F.shiftright("code", 8).alias("ctx"), "code", "n")
+    rows = counts.select((F.col("code") % (1 << shift)).alias("ctx"), "code", "n")
     return rows.repartition("ctx").sortWithinPartitions("ctx").mapInArrow(apply, LEVEL)
 
 
-def above(level: DataFrame, depth: int) -> DataFrame:
-    """The level of `depth`, from the one below it."""
+def above(level: DataFrame) -> DataFrame:
+    """The level above: contexts without their farthest byte."""
 
     def apply(batches):
         for t in whole_groups(batches, "parent"):
@@ -143,11 +138,11 @@ def above(level: DataFrame, depth: int) -> DataFrame:
             node, of = _nodes(t.column("nodes"))
             yield _level(parent, row[of], node, _flat(t.column("zeros")), _flat(t.column("ones")), _flat(t.column("weighted")))
 
-    rows = level.select((F.col("ctx") % (1 << 8 * depth)).alias("parent"), "nodes", "zeros", "ones", "weighted")
+    rows = level.select(F.shiftright("ctx", 8).alias("parent"), "nodes", "zeros", "ones", "weighted")
     return rows.repartition("parent").sortWithinPartitions("parent").mapInArrow(apply, LEVEL)
 
 
-def below(level: DataFrame, parents: DataFrame | None, depth: int) -> DataFrame:
+def below(level: DataFrame, parents: DataFrame | None) -> DataFrame:
     """MIXED rows of a level from those of the level above it (None at the root)."""
     root = parents is None
 
@@ -169,7 +164,7 @@ def below(level: DataFrame, parents: DataFrame | None, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([mine.column("ctx").combine_chunks(), mine.column("nodes").combine_chunks(), *map(pa.array, packed)], ["ctx", "nodes", "chance", "mixed", "left"])
 
     none = F.lit(None).cast("binary")
-    rows = level.select((F.col("ctx") % (1 << 8 * max(0, depth - 1))).alias("parent"), "ctx", "nodes", "zeros", "ones", "own", none.alias("mixed"), none.alias("left"))
+    rows = level.select(F.shiftright("ctx", 8).alias("parent"), "ctx", "nodes", "zeros", "ones", "own", none.alias("mixed"), none.alias("left"))
     if not root:
         rows = rows.unionByName(parents.select(F.col("ctx").alias("parent"), F.lit(None).cast("long").alias("ctx"), "nodes", none.alias("zeros"), none.alias("ones"), none.alias("own"), "mixed", "left"))
     return rows.repartition("parent").sortWithinPartitions("parent", F.col("ctx").asc_nulls_first()).mapInArrow(apply, MIXED)
@@ -177,18 +172,20 @@ def below(level: DataFrame, parents: DataFrame | None, depth: int) -> DataFrame:
 
 def trees(counts: DataFrame, depth: int = DEPTH) -> list[DataFrame]:
     """MIXED tables by depth, staged, from code, n > 0."""
-    levels = [staged(leaves(counts), "ctw-level")]
-    for d in range(depth - 1, -1, -1):
-        levels.append(staged(above(levels[-1], d), "ctw-level"))
+    levels = [staged(leaves(counts, depth), "ctw-level")]
+    for _ in range(depth):
+        levels.append(staged(above(levels[-1]), "ctw-level"))
     out: list[DataFrame] = []
-    for d, level in enumerate(levels[::-1]):
-        out.append(staged(below(level, out[-1] if out else None, d), "ctw-mixed"))
+    for level in levels[::-1]:
+        out.append(staged(below(level, out[-1] if out else None), "ctw-mixed"))
         discard(level)
     return out
 
 
 def asked(codes: DataFrame, mixed: list[DataFrame]) -> DataFrame:
     """code, value (log10 of the byte's probability after its context) for distinct `code`s, by the depths from the deepest up."""
+    depth = len(mixed) - 1
+    shift = 8 * depth
 
     def make():
         def f(c):
@@ -196,7 +193,7 @@ def asked(codes: DataFrame, mixed: list[DataFrame]) -> DataFrame:
             for code, chance, nodes, ones in zip(*c, strict=True):
                 p = np.frombuffer(chance, np.float64)
                 if nodes is not None and np.isnan(p).any():
-                    have, path = np.frombuffer(nodes, np.uint8), _PATH[code & 255]
+                    have, path = np.frombuffer(nodes, np.uint8), _PATH[code >> shift]
                     at = np.minimum(np.searchsorted(have, path), len(have) - 1)
                     p = np.where(np.isnan(p) & (have[at] == path), np.frombuffer(ones, np.float64)[at], p)
                 out.append(p.tobytes())
@@ -205,9 +202,9 @@ def asked(codes: DataFrame, mixed: list[DataFrame]) -> DataFrame:
         return f
 
     rows = codes.select("code", F.lit(np.full(8, np.nan).tobytes()).alias("chance"))
-    for d in range(len(mixed) - 1, -1, -1):
+    for d in range(depth, -1, -1):
         level = mixed[d].select("ctx", "nodes", F.col("chance").alias("ones"))
-        joined = rows.join(level, F.shiftright("code", 8) % (1 << 8 * d) == F.col("ctx"), "left").select("code", "chance", "nodes", "ones")
+        joined = rows.join(level, F.shiftright(F.col("code") % (1 << shift), 8 * (depth - d)) == F.col("ctx"), "left").select("code", "chance", "nodes", "ones")
         rows = map_rows(joined, make, "code long, chance binary")
 
     def valued():
@@ -215,15 +212,16 @@ def asked(codes: DataFrame, mixed: list[DataFrame]) -> DataFrame:
             p = np.frombuffer(b"".join(c[1]), np.float64).reshape(-1, 8)
             code = np.array(c[0], np.int64)
             p = np.where(np.isnan(p), 0.5, p)
-            return {"code": code, "value": np.log10(np.where(_BITS[code & 255] == 1, p, 1 - p)).sum(1)}
+            return {"code": code, "value": np.log10(np.where(_BITS[code >> shift] == 1, p, 1 - p)).sum(1)}
 
         return f
 
     return map_rows(rows, valued, "code long, value double")
 
 
-def known(mixed: DataFrame) -> DataFrame:
+def known(mixed: DataFrame, depth: int) -> DataFrame:
     """code, value for every pair that training has, from the deepest level (a byte was seen where its last decision was)."""
+    shift = 8 * depth
 
     def apply(batches):
         for batch in batches:
@@ -238,7 +236,7 @@ def known(mixed: DataFrame) -> DataFrame:
                     p = chance[:, _PATH[:, k]]
                     value += np.log10(np.where(_BITS[:, k] == 1, p, 1 - p))
                 r, byte = np.nonzero(~np.isnan(value))
-                yield pa.RecordBatch.from_arrays([pa.array(ctx[r] << 8 | byte), pa.array(value[r, byte])], ["code", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(byte << shift | ctx[r]), pa.array(value[r, byte])], ["code", "value"])
 
     return mixed.select("ctx", "nodes", "chance").mapInArrow(apply, "code long, value double")
 
@@ -247,7 +245,7 @@ def values(codes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """code, value for distinct codes with their training counts n (0 for those that only held-out texts have)."""
     mixed = trees(codes.where("n > 0"), depth)
     # a byte's last decision also stands for its sibling: the pairs that were not asked for go in the join
-    seen = known(mixed[-1]).join(codes.where("n > 0").select("code"), "code")
+    seen = known(mixed[-1], depth).join(codes.where("n > 0").select("code"), "code")
     return seen.unionByName(asked(codes.where("n = 0"), mixed))
 
 
@@ -285,96 +283,318 @@ def _texts(lengths: list[int], pack: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _word_keys(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
+class Numbers:
+    """Numbers (not negative) to ids in the order in which they first came, by open addressing."""
+
+    def __init__(self):
+        self.bits, self.count = 12, 0
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.found = np.zeros(1 << self.bits, np.int64)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _MULTIPLIER) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _grow(self, more: int) -> None:
+        """Room for so many new numbers at half load."""
+        if 2 * (self.count + more) <= len(self.keys):
+            return
+        while 2 * (self.count + more) > 1 << self.bits:
+            self.bits += 1
+        old, self.count = self.found[: self.count], 0
+        self.keys, self.values, self.found = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int64)
+        self._ids(old)
+
+    def ids(self, key: np.ndarray) -> np.ndarray:
+        out = np.empty(len(key), np.int32)
+        for at in range(0, len(key), 1 << 17):
+            part = key[at : at + (1 << 17)]
+            out[at : at + (1 << 17)] = self._ids(part)
+        return out
+
+    def _ids(self, key: np.ndarray) -> np.ndarray:
+        slot = self._slot(key)
+        missing = np.flatnonzero(self.keys[slot] != key)
+        if len(missing):
+            # each missing number once, in the order of its first place
+            number, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
+            by = np.argsort(first)
+            bits = self.bits
+            self._grow(len(number))
+            if bits != self.bits:
+                slot = self._slot(key)
+            ids = np.empty(len(number), np.int32)
+            ids[by] = self._put(number[by])
+        out = self.values[slot]
+        if len(missing):
+            out[missing] = ids[back]
+        return out
+
+    def _put(self, number: np.ndarray) -> np.ndarray:
+        """Ids of distinct numbers, each looked up and put in if it is new."""
+        slot, out = self._slot(number), np.full(len(number), -1, np.int32)
+        new = np.zeros(len(number), bool)
+        todo = np.arange(len(number))
+        while len(todo):
+            held = self.keys[slot[todo]]
+            hit = held == number[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            free = todo[held == -1]
+            take = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[take]], new[take] = number[take], True
+            todo = todo[~hit & ~new[todo]]
+            busy = self.keys[slot[todo]] != number[todo]
+            slot[todo[busy]] = (slot[todo[busy]] + 1) & (len(self.keys) - 1)
+        at = np.flatnonzero(new)
+        out[at] = self.count + np.arange(len(at), dtype=np.int32)
+        self.values[slot[at]] = out[at]
+        self.found[self.count : self.count + len(at)] = number[at]
+        self.count += len(at)
+        return out
+
+    def numbers(self) -> np.ndarray:
+        return self.found[: self.count]
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = np.random.default_rng(17).integers(0, 1 << 64, 256, np.uint64)
+_POWERS: list[np.ndarray] = []
+#: The key of the end of a text; parts of a slice that are worked through at once.
+END, PART = 0, 1 << 19
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        base = np.array([int(_MULTIPLIER), pow(int(_MULTIPLIER), -1, 1 << 64)], np.uint64)
+        p = np.repeat(base[:, None], max(n, 2 * PART) + 1, 1)
+        p[:, 0] = 1
+        _POWERS[:] = list(np.multiply.accumulate(p, 1))
+    return _POWERS[0], _POWERS[1]
+
+
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of every text, A-Z in lower case, and how many words each text has."""
+    low = np.frombuffer(b" ".join([*texts, b""]).translate(_LOWER), np.uint8)
+    gap = np.concatenate([[True], _GAP[low]])
+    start, end = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    power, inverse = _powers(len(low))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[low] * power[: len(low)], dtype=np.uint64)])
+    key = (total[end] - total[start]) * inverse[start]
+    key = (key ^ (key >> np.uint64(31))) * _MULTIPLIER >> np.uint64(1)
+    edges = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return key.view(np.int64), np.diff(np.searchsorted(start, edges))
+
+
+def _parts(texts: list[bytes]):
+    """Runs of texts of about PART bytes."""
+    at = total = 0
+    for i, t in enumerate(texts):
+        if total and total + len(t) > PART:
+            yield texts[at:i]
+            at, total = i, 0
+        total += len(t)
+    yield texts[at:]
+
+
+def worded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slice's distinct word keys (END is one), the id of each token and the tokens of each text; a text's end comes last."""
+    held = Numbers()
+    ends = held.ids(np.array([END], np.int64))
+    ids, sizes = [], []
+    for part in _parts(texts):
+        key, n = word_keys(part)
+        ids.append(np.insert(held.ids(key), np.cumsum(n), ends[0]))
+        sizes.append(n + 1)
+    return held.numbers(), np.concatenate(ids), np.concatenate(sizes)
+
+
+def paired(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slice's distinct codes and the id of each byte's; a text's end counts as a byte."""
+    held = Numbers()
+    ids = [held.ids(coded(part, depth)) for part in _parts(texts)]
+    return held.numbers(), np.concatenate(ids)
+
+
+def part_of(key: np.ndarray, bits: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by part and number, and the part of each number in it."""
+    part = part_of(key, bits)
+    by = np.lexsort((key, part))
+    return by, part[by]
+
+
+def _squeezed(x: np.ndarray, z) -> bytes:
+    """Differences of sorted numbers, or plain ones, compressed; bytes of one place stand together."""
+    wide = np.diff(x, prepend=x.dtype.type(0))
+    return z.compress(wide.view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def _loose(data: bytes, dtype, z) -> np.ndarray:
+    raw = np.frombuffer(z.decompress(data), np.uint8)
+    size = np.dtype(dtype).itemsize
+    return np.cumsum(np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype)[:, 0], dtype=dtype)
 
 
-def _one_by_one(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield [c[i].as_py() for c in batch.columns]
-
+#: A slice's keys of one kind (0 words, 1 codes) in one part, sorted, with their training counts.
+PACKS = "kind int, part long, sid long, keys binary, n binary"
 
-def word_rows(cut: DataFrame) -> DataFrame:
-    """key (hash of a word; 0 stands for the end of a text), sid, n (times in the slice's training texts): each distinct word of a slice once."""
 
+def packs(cut: DataFrame, depth: int, bits: int) -> DataFrame:
     def apply(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
         for sid, ids, lengths, pack in _one_by_one(batches):
             texts = _texts(lengths, pack)
-            train = [not is_held_out(i) for i in ids]
-            n: Counter = Counter(_WORDS(b" ".join(t for t, x in zip(texts, train, strict=True) if x).translate(_LOWER)))
-            for w in set(_WORDS(b" ".join(t for t, x in zip(texts, train, strict=True) if not x).translate(_LOWER))):
-                n.setdefault(w, 0)
-            key, times = np.append(_word_keys(list(n)), 0), np.append(np.fromiter(n.values(), np.int64, len(n)), sum(train))
-            for at in range(0, len(key), 1 << 17):
-                part = np.s_[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.full(len(key[part]), sid)), pa.array(times[part])], ["key", "sid", "n"])
+            train = np.array([not is_held_out(i) for i in ids])
+            words, token, sizes = worded(texts)
+            codes, byte = paired(texts, depth)
+            for kind, key, which, each in ((0, words, token, sizes), (1, codes, byte, np.array(lengths) + 1)):
+                n = np.bincount(which, np.repeat(train, each), len(key)).astype(np.int64)
+                by, part = ordered(key, bits)
+                key, n = key[by], n[by]
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+                rows = [(kind, int(part[a]), sid, _squeezed(key[a:b], z), _squeezed(n[a:b], z)) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "sid", "keys", "n"])
 
-    return cut.select("sid", "ids", "lengths", "pack").mapInArrow(apply, "key long, sid long, n long")
+    return cut.select("sid", "ids", "lengths", "pack").mapInArrow(apply, PACKS)
 
 
-def code_rows(cut: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """code, sid, n: each distinct (context, byte) pair of a slice once."""
+def summed(packed: DataFrame) -> DataFrame:
+    """kind, part, keys, n: the counts of all slices, a row a kind and part; total and distinct: the sum, and how many are not 0."""
+    target = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
 
     def apply(batches):
-        for sid, ids, lengths, pack in _one_by_one(batches):
-            texts = _texts(lengths, pack)
-            n: dict[bool, tuple] = {}
-            for held in (False, True):
-                which, found = pd.factorize(coded([t for i, t in zip(ids, texts, strict=True) if is_held_out(i) == held], depth)[0])
-                n[held] = found, np.bincount(which, minlength=len(found))
-            new = n[True][0][~np.isin(n[True][0], n[False][0])]
-            code, times = np.concatenate([n[False][0], new]), np.concatenate([n[False][1], np.zeros(len(new), np.int64)]).astype(np.int64)
-            for at in range(0, len(code), 1 << 17):
-                part = np.s_[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(code[part]), pa.array(np.full(len(code[part]), sid)), pa.array(times[part])], ["code", "sid", "n"])
+        import zstandard
+
+        z, y = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+
+        def merged(held):
+            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return key, np.bincount(at, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+
+        def row(of, held):
+            key, n = merged(held)
+            return pa.RecordBatch.from_pylist([{"kind": of[0], "part": of[1], "keys": _squeezed(key, y), "n": _squeezed(n, y), "total": int(n.sum()), "distinct": int((n > 0).sum())}], schema=target)
+
+        of, held, size = None, [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                kind, part, keys, n = (c[i].as_py() for c in batch.columns)
+                if (kind, part) != of:
+                    if held:
+                        yield row(of, held)
+                    of, held, size = (kind, part), [], 0
+                held.append((_loose(keys, np.int64, z), _loose(n, np.int64, z)))
+                size += len(held[-1][0])
+                if size > 1 << 20 and len(held) > 1 and size > 2 * len(held[0][0]):
+                    held = [merged(held)]
+                    size = len(held[0][0])
+        if held:
+            yield row(of, held)
+
+    rows = packed.select("kind", "part", "keys", "n").repartition("kind", "part").sortWithinPartitions("kind", "part")
+    return rows.mapInArrow(apply, "kind int, part long, keys binary, n binary, total long, distinct long")
+
+
+def unpacked(table: DataFrame) -> DataFrame:
+    """code, n of the rows of summed() that hold codes."""
+
+    def apply(batches):
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for keys, n in _one_by_one(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_loose(keys, np.int64, z)), pa.array(_loose(n, np.int64, z))], ["code", "n"])
+
+    return table.where("kind = 1").select("keys", "n").mapInArrow(apply, "code long, n long")
+
 
-    return cut.select("sid", "ids", "lengths", "pack").mapInArrow(apply, "code long, sid long, n long")
+def repacked(value: DataFrame, bits: int) -> DataFrame:
+    """kind, part, keys, n: values (float32) packed as summed() packs counts."""
 
+    def placed(batches):
+        for batch in batches:
+            code = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(code, bits)), batch.column(0), batch.column(1)], ["part", "code", "value"])
+
+    def apply(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=1)
+        for t in whole_groups(batches, "part"):
+            part = t.column("part").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+            code, value = t.column("code").to_numpy(), t.column("value").to_numpy().astype(np.float32)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([int(part[a])]), pa.array([_squeezed(code[a:b], z)]), pa.array([z.compress(value[a:b].tobytes())])], ["kind", "part", "keys", "n"])
+
+    rows = value.select("code", "value").mapInArrow(placed, "part long, code long, value double")
+    return rows.repartition("part").sortWithinPartitions("part", "code").mapInArrow(apply, "kind int, part long, keys binary, n binary")
+
+
+def answered(packed: DataFrame, table: DataFrame) -> DataFrame:
+    """sid, kind, part, values: for each pack what the table has for its keys (counts as int64, values as float32), in their order."""
+
+    def apply(batches):
+        import zstandard
+
+        z, y = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        key = value = None
+        for kind, part, sid, keys, n in _one_by_one(batches):
+            if sid is None:
+                key = _loose(keys, np.int64, z)
+                value = np.frombuffer(z.decompress(n), np.float32) if kind else _loose(n, np.int64, z)
+                continue
+            got = value[np.searchsorted(key, _loose(keys, np.int64, z))]
+            yield pa.RecordBatch.from_arrays([pa.array([sid]), pa.array([kind], pa.int32()), pa.array([part]), pa.array([y.compress(got.tobytes()) if kind else _squeezed(got, y)])], ["sid", "kind", "part", "values"])
 
-def _looked_up(keys: np.ndarray, values_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    by = np.argsort(keys)
-    return values_[by[np.searchsorted(keys, wanted, sorter=by)]]
+    rows = table.select("kind", "part", F.lit(None).cast("long").alias("sid"), "keys", "n").unionByName(packed.select("kind", "part", "sid", "keys", F.lit(None).cast("binary").alias("n")))
+    return rows.repartition("kind", "part").sortWithinPartitions("kind", "part", F.col("sid").asc_nulls_first()).mapInArrow(apply, "sid long, kind int, part long, values binary")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, size: int = SLICE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length, the end counted as a byte)."""
     cut = staged(sliced(text_bytes(df, id_col, text_col), size), "ctw-slices")
-
-    every = W.partitionBy("key")  # a key has at most one row for each slice
-    words = word_rows(cut).select("key", "sid", "n", F.sum("n").over(every).alias("c"), (F.min("sid").over(every) == F.col("sid")).alias("first"))
-    fresh = F.count_if(F.col("first") & (F.col("c") > 0))
-    words = staged(words.groupBy("sid").agg(F.collect_list("key").alias("keys"), F.collect_list("c").alias("counts"), F.sum("n").alias("n"), fresh.alias("v")), "ctw-words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-
-    codes = staged(code_rows(cut, depth).groupBy("code").agg(F.sum("n").alias("n")), "ctw-codes")
-    value = staged(values(codes, depth).select("code", F.col("value").cast("float").alias("value")), "ctw-values")
-    found = code_rows(cut, depth).select("code", "sid").join(value, "code").groupBy("sid").agg(F.collect_list("code").alias("codes"), F.collect_list("value").alias("values"))
+    bits = max(4, math.ceil(math.log2(max(1, cut.count()) / 16 + 1)))  # a part has at most some million keys, even if slices share none
+    packed = staged(packs(cut, depth, bits), "ctw-packs")
+    sums = staged(summed(packed), "ctw-sums")
+    total, distinct = sums.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    value = repacked(values(staged(unpacked(sums), "ctw-codes"), depth), bits)
+    table = staged(sums.where("kind = 0").select("kind", "part", "keys", "n").unionByName(value), "ctw-values")
+    answers = answered(packed, table).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "values"))).alias("got"))
 
     def apply(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                ids, lengths, pack = (row.column(k)[0].as_py() for k in range(3))
-                keys, counts, at, values_ = (row.column(k).flatten().to_numpy() for k in range(3, 7))
-                texts = _texts(lengths, pack)
-                index: dict[bytes, int] = {}
-                of = [np.array([index.setdefault(w, len(index)) for w in _WORDS(t.translate(_LOWER))], np.int64) for t in texts]
-                c = np.append(_looked_up(keys, counts, _word_keys(list(index))) if index else np.zeros(0, np.int64), _looked_up(keys, counts, np.array([0])))
-                sizes = np.array([len(x) + 1 for x in of], np.int64)
-                c = c[np.concatenate([y for x in of for y in (x, [len(index)])])]
-                starts = np.cumsum(sizes) - sizes
-                code, begin = coded(texts, depth)
-                which, distinct_ = pd.factorize(code)
-                bits = np.add.reduceat(_looked_up(at, values_, distinct_).astype(np.float64)[which], begin)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(np.log10(c + 1.0), starts)), pa.array(bits), pa.array(bits * (-math.log2(10)) / (np.array(lengths) + 1))],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "bits_per_byte"],
-                )
-
-    rows = cut.join(words, "sid").join(found, "sid").select("ids", "lengths", "pack", "keys", "counts", "codes", "values")
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for ids, lengths, pack, got in _one_by_one(batches):
+            texts = _texts(lengths, pack)
+            words, token, sizes = worded(texts)
+            codes, byte = paired(texts, depth)
+            c, p = np.empty(len(words), np.int64), np.empty(len(codes), np.float64)
+            c[ordered(words, bits)[0]] = np.concatenate([_loose(g["values"], np.int64, z) for g in got if g["kind"] == 0])
+            p[ordered(codes, bits)[0]] = np.concatenate([np.frombuffer(z.decompress(g["values"]), np.float32) for g in got if g["kind"] == 1])
+            starts, begin = np.cumsum(sizes) - sizes, np.cumsum(np.array(lengths) + 1) - np.array(lengths) - 1
+            bits_ = np.add.reduceat(p[byte], begin)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64)[token], starts)), pa.array(np.add.reduceat(np.log10(c + 1.0)[token], starts)), pa.array(bits_), pa.array(bits_ * -math.log2(10) / (np.array(lengths) + 1))],
+                ["doc_id", "n_tokens", "n_known", "base", "score", "bits_per_byte"],
+            )
+
+    rows = cut.join(answers, "sid").select("ids", "lengths", "pack", "got")
     rows = rows.mapInArrow(apply, "doc_id long, n_tokens long, n_known long, base double, score double, bits_per_byte double")
     out_of = math.log10(total + distinct + 1)
     return rows.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * out_of).alias("base_score"), "score", "bits_per_byte")
+
+
+def _one_by_one(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in batch.columns]
