@@ -1,8 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations only.
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words; a target stops at CAP times
-its source's size and the excess is shared again by weight. That fixed point is found in closed form, by running sums over
-the sources sorted by size to weight: target = least(CAP * size, level * weight).
+its source's size and the excess is shared again by weight: target = least(CAP * size, level * weight), where the level rises
+until no further source reaches its limit. Each step of it is one aggregate over the sources, of which there may be many:
+they are numbered by range partitions and offsets, not in one window.
 
 Copies: every document of a source should appear target / size times. The whole part is kept; the fractions are rounded
 dependently. Two documents exchange words at random, in proportions that keep every document's expected copies, until
@@ -12,9 +13,10 @@ where FAN of them meet, until a source has one left, which is rounded at random.
 source are rounded among themselves first, and the fractions of the others shift to make up for the last of them. So a
 source's words miss its target by less than one document, and that one under 1 / 400 of the source where such are left.
 
-Randomness is a hash of the row and SEED: reruns agree, whatever the partitions. The only thing that comes to the driver
-is the largest bucket number, which sets the number of levels. Null texts have size 0 and are taken 0 times; repeated rows
-are separate rows; other columns are not read.
+Randomness is a hash of the row and SEED: reruns agree, whatever the partitions. A row is told from others by its id, text
+and source and by its number among equal rows, so neither null ids nor repeated rows meet in one bucket. What comes to the
+driver are sums, range sizes and the largest bucket number, which sets the number of levels. Null texts have size 0 and are
+taken 0 times; repeated rows are separate rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,29 +34,45 @@ WEIGHTS, CAP, FAN, SEED = (1, 2, 3), 3, 256, 20240
 CUTS = (20, 400)
 
 #: The fold's state: rows decided so far, and the one that is still fractional. Each row: id, size, x (fraction), u (random), copies.
-_ROW = "struct<doc_id: bigint, size: bigint, x: double, u: double>"
+_ROW = "struct<doc_id: bigint, part: bigint, size: bigint, x: double, u: double>"
 
 
-def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size, and h, a hash of the row by which it is dealt out."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("h"))
+def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, part (hash of text and the columns `also`), and h, a hash by which the row is dealt out."""
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col, *also).alias("part"))
+    rows = rows.groupBy("doc_id", "source", "size", "part").agg(F.count("*").alias("equal"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "equal")))
+    return rows.select("doc_id", "source", "size", "part", F.xxhash64("doc_id", "source", "part", "copy", F.lit(SEED)).alias("h"))
+
+
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """Adds `place`: 0 and on by the column, nulls last. Ranges are numbered within themselves and shifted by the sizes of those before."""
+    ranged = df.repartitionByRange(F.col(column).asc_nulls_last()).withColumn("_range", F.spark_partition_id())
+    ranged = staged(ranged, "mix-ranges")
+    before, shift = 0, []
+    for r in sorted(ranged.groupBy("_range").count().collect()):  # one row for each range
+        shift.append((r["_range"], before))
+        before += r["count"]
+    shifts = df.sparkSession.createDataFrame(shift, "_range int, _before long")
+    own = F.row_number().over(W.partitionBy("_range").orderBy(F.col(column).asc_nulls_last())) - 1
+    return ranged.join(F.broadcast(shifts), "_range").withColumn("place", own + F.col("_before")).drop("_range", "_before")
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """source, source_size, target; one row a source, so the windows over all sources are small."""
-    every = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    t = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("weight", weight).withColumn("limit", cap * F.col("source_size").cast("double"))
-    by_ratio = W.orderBy((F.col("limit") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(0, W.unboundedFollowing)
-    # with all sources before this one at their limit, what a unit of weight gets of the rest
-    t = t.withColumn("level", (F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    ratio = F.col("limit") / F.col("weight")
-    t = t.withColumn("level", F.min(F.when(F.col("level") <= ratio, F.struct(ratio.alias("ratio"), "level"))).over(every)["level"])
-    return t.select("source", "source_size", F.least("limit", F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
+    """source, source_size, target, staged."""
+    t = numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    t = staged(t.select("source", "source_size", weight.alias("weight"), (cap * F.col("source_size").cast("double")).alias("limit")), "mix-sources")
+    full, level = -1, 0.0
+    every = float(t.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        stop = F.col("limit") <= F.lit(level) * F.col("weight") if full >= 0 else F.lit(False)
+        spent, open_, now = t.agg(F.coalesce(F.sum(F.when(stop, F.col("limit"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~stop, F.col("weight"))), F.lit(0.0)), F.count_if(stop)).first()
+        if now == full or not open_:
+            break
+        full, level = now, (every - spent) / open_
+    return staged(t.select("source", "source_size", F.least("limit", F.lit(level) * F.col("weight")).alias("target")), "mix-targets")
 
 
 def _unit(h: Column) -> Column:
@@ -64,7 +82,7 @@ def _unit(h: Column) -> Column:
 
 def _fold(rows: str) -> str:
     """SQL: struct(done, held) after pairing an array of fractional rows in order."""
-    put = "named_struct('doc_id', {0}.doc_id, 'size', {0}.size, 'x', {1}, 'u', {0}.u)"
+    put = "named_struct('doc_id', {0}.doc_id, 'part', {0}.part, 'size', {0}.size, 'x', {1}, 'u', {0}.u)"
     up = "least(a.held.size * (1 - a.held.x), r.size * r.x)"  # words that the held row can win
     down = "least(a.held.size * a.held.x, r.size * (1 - r.x))"  # words that it can lose
     won = "r.u * (up + down) < down"
@@ -76,8 +94,8 @@ def _fold(rows: str) -> str:
     return f"aggregate({rows}, struct(cast(array() as array<{_ROW}>) as done, cast(null as {_ROW}) as held), (a, r) -> {step})"
 
 
-_ORDER = "array_sort(collect_list(row), (p, q) -> case when p.size <> q.size then if(p.size > q.size, -1, 1) when p.u <> q.u then if(p.u < q.u, -1, 1) else coalesce(cast(signum(p.doc_id - q.doc_id) as int), 0) end)"
-_LAST = "if({0} is null, array(), array(named_struct('doc_id', {0}.doc_id, 'size', {0}.size, 'x', if({0}.u < {0}.x, 1D, 0D), 'u', {0}.u)))"
+_ORDER = "array_sort(collect_list(row), (p, q) -> case when p.size <> q.size then if(p.size > q.size, -1, 1) when p.u <> q.u then if(p.u < q.u, -1, 1) else 0 end)"
+_LAST = "if({0} is null, array(), array(named_struct('doc_id', {0}.doc_id, 'part', {0}.part, 'size', {0}.size, 'x', if({0}.u < {0}.x, 1D, 0D), 'u', {0}.u)))"
 
 
 def _of_source(rows: DataFrame, per_source: DataFrame, *names: str) -> DataFrame:
@@ -85,7 +103,7 @@ def _of_source(rows: DataFrame, per_source: DataFrame, *names: str) -> DataFrame
 
 
 def _row() -> Column:
-    return F.struct("doc_id", "size", "x", _unit(F.xxhash64("h", F.lit(SEED + 1))).alias("u")).alias("row")
+    return F.struct("doc_id", "part", "size", "x", _unit(F.xxhash64("h", F.lit(SEED + 1))).alias("u")).alias("row")
 
 
 def _large_first(rest: DataFrame, cut: int) -> tuple[DataFrame, DataFrame]:
@@ -96,18 +114,21 @@ def _large_first(rest: DataFrame, cut: int) -> tuple[DataFrame, DataFrame]:
     level = level.withColumn("f", F.expr(_fold("rows"))).withColumn("done", F.expr(f"concat(f.done, {_LAST.format('f.held')})"))
     level = staged(level.select("source", "done", F.expr(f"{words.format('done')} - {words.format('rows')}").alias("over")), "mix-large")
     rest = rest.where(~large)
-    rest = _of_source(_of_source(rest, level, "over"), rest.groupBy("source").agg(F.sum("size").alias("mass")), "mass")
+    mass = rest.groupBy("source").agg(F.sum("size").alias("mass"))
+    shift = staged(_of_source(mass, level, "over").select("source", "mass", "over"), "mix-shift")
+    rest = _of_source(rest, shift, "over", "mass")
     x = F.col("x") - F.coalesce(F.col("over") / F.col("mass"), F.lit(0.0))
     return level.select("source", F.explode("done").alias("row")), rest.withColumn("x", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).drop("over", "mass")
 
 
 def rounded(fractions: DataFrame, fan: int = FAN, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """From doc_id, source, source_size, size > 0, x in (0, 1), h: doc_id, size, source, more (0 or 1), one row for each."""
+    """From doc_id, part, source, source_size, size > 0, x in (0, 1), h: doc_id, part, size, source, more (0 or 1), one row for each."""
     done, rest = [], fractions
     for cut in cuts:
         large, rest = _large_first(rest, cut)
         done.append(large)
-    rows = _of_source(rest, rest.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / fan)).cast("long").alias("buckets")), "buckets")
+    buckets = rest.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / fan)).cast("long").alias("buckets"))
+    rows = _of_source(rest, staged(buckets, "mix-buckets"), "buckets")
     rows = rows.select("source", "buckets", F.pmod("h", "buckets").alias("bucket"), _row())
     levels = 0
     while True:
@@ -123,18 +144,19 @@ def rounded(fractions: DataFrame, fan: int = FAN, cuts: tuple[int, ...] = CUTS)
         rows = level.where("held is not null").select("source", "buckets", "bucket", F.col("held").alias("row"))
         rows = rows.select("source", F.greatest(F.lit(1), F.ceil(F.col("buckets") / fan)).cast("long").alias("buckets"), F.floor(F.col("bucket") / fan).cast("long").alias("bucket"), F.col("row").withField("u", fresh).alias("row"))
     out = functools.reduce(DataFrame.unionByName, done)
-    return out.select("source", "row.doc_id", "row.size", F.col("row.x").cast("long").alias("more"))
+    return out.select("source", "row.doc_id", "row.part", "row.size", F.col("row.x").cast("long").alias("more"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """doc_id, source, size, source_size, target (the source's), copies (whole), taken (words: copies * size)."""
-    rows = staged(sizes(df, id_col, text_col, source_col), "mix-sizes")
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, part (hash of the text and the columns `also`), source, size, source_size, target (the source's), copies (whole),
+    taken (words: copies * size); one row for each row."""
+    rows = staged(sizes(df, id_col, text_col, source_col, also), "mix-sizes")
     goal = targets(rows, weights, cap)
     goal = goal.select(F.col("source").alias("_s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_f"))
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_whole", F.floor("_f").cast("long")).withColumn("_x", F.col("_f") - F.floor("_f"))
     fixed = (F.col("size") == 0) | (F.col("_x") <= 0)
-    more = rounded(rows.where(~fixed).select("doc_id", "source", "source_size", "size", F.col("_x").alias("x"), "h"))
-    again = more.join(goal, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", (F.floor("_f").cast("long") + F.col("more")).alias("copies"))
-    plain = rows.where(fixed).select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("_whole")).cast("long").alias("copies"))
+    more = rounded(rows.where(~fixed).select("doc_id", "part", "source", "source_size", "size", F.col("_x").alias("x"), "h"))
+    again = more.join(goal, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "part", "source", "size", "source_size", "target", (F.floor("_f").cast("long") + F.col("more")).alias("copies"))
+    plain = rows.where(fixed).select("doc_id", "part", "source", "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("_whole")).cast("long").alias("copies"))
     return plain.unionByName(again).withColumn("taken", F.col("copies") * F.col("size"))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe, mixing, secrets as scans, simhash
 from . import quality as classifier
-from .common import WORD, staged
+from .common import staged
 
 #: Documents that score lower than this are rejected (the classifier's even odds).
 QUALITY = 0.5
@@ -28,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = simhash.groups(docs, SIMILARITY, SHINGLE).groupBy("root", "doc_id", "part").agg(F.count("*").alias("n"))
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part", "n")).alias("m"))
     best = staged(best.select(F.col("m.doc_id").alias("_id"), F.col("m.part").alias("_best"), F.col("m.n").alias("_n")), "near-best")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     parted = docs.withColumn("_part", F.xxhash64(F.col("text").cast("binary")))
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_part") == F.col("_best"))
     once = parted.join(best.where("_n = 1"), here, "left_semi")
@@ -41,21 +41,16 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each row as often as the mix takes it. Rows of equal id, source and size are the same to the mix; its copies of
-    those are dealt to their texts in the order of a hash, so that the sum stays."""
-    drawn = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    drawn = drawn.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "rows")
-    parted = docs.withColumn("_part", F.xxhash64("text", "lang", "n_chars"))
-    sized = parted.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), "_part")
-    texts = sized.where("size > 0").groupBy("doc_id", "source", "size", "_part").agg(F.count("*").alias("equal"))
-    before = W.partitionBy("doc_id", "source", "size").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    texts = texts.withColumn("before", F.coalesce(F.sum("equal").over(before), F.lit(0)))
-    deal = texts.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-    deal = deal.withColumn("_copies", F.expr("equal * (copies div rows) + greatest(0, least(equal, copies % rows - before))"))
-    deal = staged(deal.where("_copies > 0").select("_id", "_source", F.col("_part").alias("_text"), "equal", "_copies"), "mix-deal")
-    taken = parted.join(deal, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_text")))
-    taken = taken.where("equal = 1").unionByName(taken.where("equal > 1").dropDuplicates(["doc_id", "source", "_part"]))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("doc_id", "text", "lang", "source", "n_chars")
+    """Repeats each row as often as the mix takes it. Rows equal in every column are one row with the sum of their copies, which
+    are what the mix drew for each of them; rows that share an id but not the rest are different rows."""
+    drawn = mixing.mix(docs, also=("lang", "n_chars")).where("copies > 0")
+    drawn = drawn.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("part").alias("_part")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_equal"))
+    drawn = staged(drawn, "mix-drawn")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text", "lang", "n_chars") == F.col("_part"))
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    taken = docs.join(drawn, same)
+    taken = taken.where("_equal = 1").unionByName(taken.where("_equal > 1").dropDuplicates(["_id", "_source", "_part"]))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
