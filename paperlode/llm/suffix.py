@@ -14,7 +14,8 @@ Across shards: where an anchor was dealt to several shards, each shard passes on
 are sorted by a 128-bit digest and the shards' lists merged by binary search for each digest's first entry.
 
 The order is (doc_id, start); null ids come last, and rows that share an id but not a text are separate documents, in the
-order of a hash of the text. Rows equal in both are one document and share its result. Null texts count as empty; texts
+order of a hash of the text. Rows equal in both are one document and share its result. A text that repeats itself on and on
+is one row for each run of repeats, not one for each place. Null texts count as empty; texts
 under SPAN bytes lose nothing. Other columns are not read. Every group is bounded by SALT occurrences in expectation, and
 a worker holds BATCH bytes of stretches at a time.
 """
@@ -310,21 +311,28 @@ def repeats(docs: DataFrame) -> DataFrame:
     def place(batches):
         for batch in batches:
             for p in slices(batch):
-                h, text, _, _ = anchors([t or b"" for t in p.column(1).to_pylist()])
-                ids = np.array([LAST_ID if i is None else i for i in p.column(0).to_pylist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text])], ["h", "id"])
+                texts, ids, parts = _keyed([c.to_pylist() for c in p.columns])
+                h, text, _, _ = anchors(texts)
+                once = pd.DataFrame({"h": h.view(np.int64), "text": text}).drop_duplicates()
+                at = once["text"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(once["h"].to_numpy()), pa.array(np.array(ids, np.int64)[at]), pa.array(np.array(parts, np.int64)[at])], ["h", "id", "part"])
 
     common = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     common = staged(common, "anchors")
-    lists = docs.mapInArrow(place, "h long, id long").join(common, "h").groupBy("id").agg(F.collect_set(F.struct("h", "n")).alias("common"))
+    lists = docs.mapInArrow(place, "h long, id long, part long").join(common, "h").groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(F.collect_set(F.struct("h", "n")).alias("common"))
 
     def packed():
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        return lambda c: {"id": [LAST_ID if i is None else i for i in c[0]], "z": [z.compress(t or b"") for t in c[1]]}
 
-    joined = map_rows(docs, packed, "id long, z binary").join(lists, "id")
+        def f(c):
+            texts, ids, parts = _keyed(c)
+            return {"id": ids, "part": parts, "z": [z.compress(t) for t in texts]}
+
+        return f
+
+    joined = map_rows(docs, packed, "id long, part long, z binary").join(lists, (F.col("id") == F.col("_id")) & (F.col("part") == F.col("_part")))
 
     def cut(batches):
         import xxhash
@@ -346,10 +354,14 @@ def repeats(docs: DataFrame) -> DataFrame:
                     if (n := number[d].get(a)) is None:
                         continue
                     if d != last:
-                        seen, last = set(), d
+                        seen, last, again = set(), d, False
                     s = texts[d][f : f + w + SPAN - 1]
+                    if s in seen and again and out[5][-1] + out[6][-1] == f:
+                        out[6][-1] += w  # the text repeats itself on and on: one row for all of it
+                        continue
+                    again = s in seen
                     salts = max(1, n // SALT)
-                    row = (a, parts[d] % salts, salts, ids[d], parts[d], f, w, None if s in seen else s)
+                    row = (a, (parts[d] ^ ids[d] * 0x9E3779B97F4A7C15) % salts, salts, ids[d], parts[d], f, w, None if again else s)
                     seen.add(s)
                     for o, v in zip(out, row, strict=True):
                         o.append(v)
