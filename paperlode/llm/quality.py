@@ -4,7 +4,7 @@ A text's bytes are cut into overlapping chunks that cover the whole of it. Learn
 along each chunk; each filter's maximum in a chunk is kept, and the mean and the maximum of these over all chunks, with the
 logarithm of the length (short texts reach lower maxima), go through one logistic unit. Gradients pass through the maxima only, so training costs little more than scoring.
 
-Training rows are a bounded sample: SAMPLE labelled rows of each class with texts up to SAMPLE_BYTES, in the order of a
+Training rows are a bounded sample: SAMPLE labelled ids of each class with texts up to SAMPLE_BYTES (one for each id), in the order of a
 hash of their ids, from those that are not held out (crc32 of the id's decimal digits mod 4 is 2). The labels enter
 nothing else; a score depends on the text alone. With one class only in the sample every score is that class's share,
 smoothed; with no labels at all it is 0.5.
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes
+from .common import map_rows, slices, text_bytes
 
 SAMPLE, SAMPLE_BYTES = 1000, 1 << 18
 CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS = 512, 64, 8, 2, 6, 24
@@ -153,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     picked = [known.where(F.col("label") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where(F.length("text") <= SAMPLE_BYTES)
-    # bounded: at most 2 * sample ids
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").collect()
+    # bounded: at most 2 * sample ids, and of each id the least text
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["text"])))
     return train([bytes(r["text"]) for r in rows], [r["label"] for r in rows])
 
@@ -171,15 +171,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep(df: DataFrame, net: Network, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose text scores at least the threshold."""
+    """The rows of df, all columns, whose text scores at least the threshold. A text is taken as its bytes, whatever they are."""
     import pyarrow as pa
 
-    names = df.columns
-
     def apply(batches):
         for batch in batches:
-            texts = batch.column(names.index(text_col)).to_pylist()
-            good = np.concatenate([net.scores([(t or "").encode("utf-8", "replace") for t in texts[i : i + 512]]) for i in range(0, len(texts), 512)] or [np.zeros(0)]) >= threshold
-            yield batch.filter(pa.array(good))
+            for part in slices(batch, 512):
+                good = net.scores([t or b"" for t in part.column(part.num_columns - 1).to_pylist()]) >= threshold
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1]).filter(pa.array(good))
+
+    kept = df.columns
+    return df.select(*kept, F.col(text_col).cast("binary").alias(_free("_bytes", kept))).mapInArrow(apply, df.schema)
+
 
-    return df.mapInArrow(apply, df.schema)
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
