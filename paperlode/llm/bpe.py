@@ -2,8 +2,9 @@
 
 The text is split by a regular expression; each distinct piece becomes a row of token ids in a matrix of rows of like
 length. In every round each row merges its leftmost pair of minimum rank, found through a hashed pair table; rows with
-nothing left to merge leave the matrix (compaction). Pieces longer than MATRIX_BYTES are merged by a heap in
-O(n log n) under the same rule, since one merge a round would make a very long piece quadratic.
+nothing left to merge leave the matrix (compaction). Rows of over 192 bytes merge all places of that pair, left to right, in
+one round, where no pair that this makes on the way ranks before it: then the pair's next place is what would come next
+anyway. Where one does, that round merges the leftmost place alone.
 
 Nulls and empty texts give no tokens. Ids decode to exactly the bytes of the text. Invalid UTF-8, which Spark strings
 can hold, is replaced by U+FFFD as str decoding does. Repeated rows are encoded alike; an empty table gives no rows.
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import zlib
 from itertools import chain
 
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows, text_bytes
 
-MATRIX_BYTES = 192
+#: Widths of the matrices for short pieces; longer ones double.
+WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 192)
 #: Distinct pieces in each of a worker's two cache generations; the older one goes when the younger is full.
 CACHE_PIECES = 120_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -167,7 +168,6 @@ class Codec:
         pairs = [(a, b, rank) for word, rank in ranks.items() for k in range(1, len(word)) if (a := ranks.get(word[:k])) is not None and (b := ranks.get(word[k:])) is not None]
         table = np.array(pairs, np.int32).reshape(-1, 3)
         self.table = PairTable(table[:, 0], table[:, 1], table[:, 2])
-        self.heap_ranks = {(a, b): r for a, b, r in pairs}
         self.decimal = [str(i) for i in range(size)]
         self.young: dict[str, list[int]] = {}
         self.old: dict[str, list[int]] = {}
@@ -175,15 +175,18 @@ class Codec:
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(pieces)
         lengths = np.array([len(p) for p in pieces], np.int64)
-        for bound in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, MATRIX_BYTES):
+        bound, bounds = WIDTHS[-1], list(WIDTHS)
+        while bound < lengths.max(initial=0):
+            bounds.append(bound := 2 * bound)
+        for bound in bounds:
             rows = np.flatnonzero((lengths <= bound) & (lengths > 0))
             lengths[rows] = 0
-            for start in range(0, len(rows), 32768):
-                part = rows[start : start + 32768]
-                for i, ids in zip(part.tolist(), self.encode_matrix([pieces[i] for i in part.tolist()], bound), strict=True):
+            merge = self.encode_wide if bound > WIDTHS[-1] else self.encode_matrix
+            at_once = max(1, min(32768, (1 << 21) // bound))
+            for start in range(0, len(rows), at_once):
+                part = rows[start : start + at_once]
+                for i, ids in zip(part.tolist(), merge([pieces[i] for i in part.tolist()], bound), strict=True):
                     out[i] = ids
-        for i in np.flatnonzero(lengths > 0).tolist():
-            out[i] = self.encode_long(pieces[i])
         return out
 
     def encode_matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
@@ -224,27 +227,66 @@ class Codec:
             rank[end, best[end]] = NONE
         return done
 
-    def encode_long(self, piece: bytes) -> list[int]:
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.heap_ranks.get
-        heap = [(r, i) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or get((ids[i], ids[j])) != rank:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := get((rank, ids[after[i]]))) is not None:
-                    heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := get((ids[before[i]], rank))) is not None:
-                heapq.heappush(heap, (r, before[i]))
-        return [x for x in ids if x >= 0]
+    def encode_wide(self, pieces: list[bytes], width: int) -> list[list[int]]:
+        """As encode_matrix, but a round merges every place of a row's minimum-rank pair, from the left, where that is the same."""
+        n = len(pieces)
+        size = np.array([len(p) for p in pieces], np.int64)
+        width = int(size.max())
+        ids = self.byte_id[np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)]
+        rank = np.full((n, width), NONE, np.int32)  # of the pair that starts here
+        at = np.nonzero(np.arange(width) < size[:, None] - 1)
+        rank[at] = self.table.find(ids[at], ids[at[0], at[1] + 1])
+        done: list = [None] * n
+        row = np.arange(n)
+        while len(row):
+            best = rank.min(1)
+            ended = best == NONE
+            if ended.any():
+                for k, r, m in zip(row[ended].tolist(), ids[ended], size[ended].tolist(), strict=True):
+                    done[k] = r[:m].tolist()
+                row, ids, size, rank, best = row[~ended], ids[~ended], size[~ended], rank[~ended], best[~ended]
+                if not len(row):
+                    break
+            place = np.arange(ids.shape[1])
+            hit = rank == best[:, None]
+            # in a run of equal tokens pairs overlap: every other one is taken
+            first = hit.copy()
+            first[:, 1:] &= ~hit[:, :-1]
+            take = hit & ((place - np.maximum.accumulate(np.where(first, place, 0), 1)) % 2 == 0)
+            after = self.merged(ids, rank, size, take, best)
+            low = after[3] < best
+            for k in np.flatnonzero(~low & (take.sum(1) > 1)).tolist():  # the merged token before the pair's next place
+                left = np.array([ids[k, int(take[k].argmax())]])
+                low[k] = self.table.find(best[k : k + 1], left)[0] < best[k]
+            if low.any():
+                leftmost = np.zeros_like(take)
+                leftmost[np.arange(len(row)), take.argmax(1)] = True
+                after = self.merged(ids, rank, size, np.where(low[:, None], leftmost, take), best)
+            ids, rank, size = after[:3]
+        return done
+
+    def merged(self, ids: np.ndarray, rank: np.ndarray, size: np.ndarray, take: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tokens, ranks and sizes after merging the pairs that start where `take` is set, and the least rank of a new pair in each row."""
+        keep = np.arange(ids.shape[1]) < size[:, None]
+        keep[:, 1:] &= ~take[:, :-1]
+        r, c = np.nonzero(keep)
+        size = keep.sum(1)
+        to = np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size)
+        made = take[r, c]
+        shape = (len(ids), int(size.max()))
+        new_ids, new_rank = np.zeros(shape, np.int32), np.full(shape, NONE, np.int32)
+        new_ids[r, to], new_rank[r, to] = np.where(made, best[r], ids[r, c]), rank[r, c]
+        again = np.zeros(shape, bool)
+        again[r[made], to[made]] = again[r[made], np.maximum(to[made] - 1, 0)] = True
+        new_rank[again] = NONE
+        again &= np.arange(shape[1]) < size[:, None] - 1
+        at = np.nonzero(again)
+        found = self.table.find(new_ids[at], new_ids[at[0], at[1] + 1])
+        new_rank[at] = found
+        new_rank[np.arange(len(ids)), size - 1] = NONE
+        least = np.full(len(ids), NONE, np.int32)
+        np.minimum.at(least, at[0], found)
+        return new_ids, new_rank, size, least
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
