@@ -162,9 +162,18 @@ def digest(df: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Replaces every span of `text` (overlapping ones together) by a mark; other columns stay. Null texts stay null."""
-    found = scanned(df.withColumn("_was", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
-    cut = f"""aggregate(found, struct(0 as at, cast(array() as array<string>) as parts),
-        (a, c) -> struct(greatest(a.at, c.e) as at, if(c.s >= a.at, a.parts || array(substring(text, a.at + 1, c.s - a.at), '{mark}'), a.parts) as parts),
-        a -> concat(array_join(a.parts, ''), substring(text, a.at + 1)))"""
-    return found.withColumn("text", F.when(F.col("_was").isNull(), F.lit(None).cast("string")).when(F.size("found") == 0, F.col("text")).otherwise(F.expr(cut))).drop("found", "_was")
+    """Replaces every span of `text` (overlapping ones together) by a mark; the other columns stay, whatever their names. Null
+    texts stay null. The parts are collected in order and joined once."""
+    found = scanned(df.select(F.struct(*df.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
+    # spans that touch or overlap are one: their bounds, in order
+    found = found.withColumn("found", F.expr("filter(found, c -> c.e > c.s)"))
+    found = found.withColumn("reach", F.expr(RUNNING))
+    found = found.withColumn("cuts", F.expr("filter(transform(found, (c, i) -> struct(c.s as s, if(i = 0, -1, reach[i - 1]) as before, i as i)), c -> c.s >= c.before)"))
+    found = found.withColumn("cuts", F.expr("transform(cuts, (c, k) -> struct(if(k = 0, 0, c.before) as a, c.s as b))"))
+    parts = f"concat(array_join(transform(cuts, c -> concat(substring(text, c.a + 1, c.b - c.a), '{mark}')), ''), substring(text, reach[size(reach) - 1] + 1))"
+    clean = F.when(F.col("row.text").isNull() | (F.size("found") == 0), F.col("row.text")).otherwise(F.expr(parts))
+    return found.select(*[clean.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+#: SQL: the farthest end so far, for every span of `found`; in blocks, so that many spans cost no quadratic copying.
+RUNNING = prefix_sums("transform(found, c -> c.e)").replace("coalesce(try_element_at(s, -1), 0) + x", "greatest(coalesce(try_element_at(s, -1), 0), x)").replace("(s, x) -> s + x", "(s, x) -> greatest(s, x)").replace("x -> x + if(i = 0, 0, try_element_at(ts, i))", "x -> greatest(x, if(i = 0, 0, try_element_at(ts, i)))")

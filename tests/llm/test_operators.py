@@ -176,7 +176,11 @@ def test_bpe(docs, none):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     tokenizer = bpe.Tokenizer.from_file(path, P.PATTERN)
     codec = tokenizer.codec()
-    odd = ["don't he'll x's 's .'s 1's 're'd", "a\x00b　 c \n\n d  ", "é" * 500, "".join(chr(RANDOM.randrange(32, 0x3000)) for _ in range(2000)), "".join(RANDOM.choice("ab") for _ in range(700)), "\U0001f600" * 90]
+    odd = ["don't he'll x's 's .'s 1's 're'd", "a\x00b　 c \n\n d  ", "é" * 500, "".join(chr(RANDOM.randrange(32, 0x3000)) for _ in range(2000)), "".join(RANDOM.choice("ab") for _ in range(700)), "\U0001f600" * 90, "a" * 1001, "".join(RANDOM.choice("etaoinshrdlu") for _ in range(5000)), "日本語" * 400]
+    made_up = {bytes([i]): i for i in range(256)} | {b"bc": 300, b"abc": 290, b"abcb": 295, b"ab": 400}  # abc ranks before bc, of which it can be made
+    strange, same = bpe.Codec(made_up, r"(?s).+"), tiktoken.Encoding("strange", pat_str=r"(?s).+", mergeable_ranks=made_up, special_tokens={})
+    for t in ("abcbc" * 80, "".join(RANDOM.choice("abc") for _ in range(900))):
+        assert strange.encode([t])[0].tolist() == same.encode_ordinary(t)
     for t, ids in zip(odd, codec.encode(odd), strict=True):
         assert ids.tolist() == own.encode_ordinary(t) and codec.decode(ids.tolist()) == t.encode()
     other = bpe.Codec(ranks, r"\s+|\S+")
@@ -364,8 +368,8 @@ def test_mixing(spark, docs, none):
 
 
 def test_mixing_levels(spark):
-    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), (F.lit(0.37)).alias("x"), F.xxhash64("id").alias("h"), F.lit(3).cast("long").alias("size"), F.lit(9000).cast("long").alias("source_size"))
-    got = mixing.rounded(df.select("doc_id", "source", "source_size", "size", "x", "h"), fan=8).collect()
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), (F.lit(0.37)).alias("x"), F.xxhash64("id").alias("h"), F.col("id").alias("part"), F.lit(3).cast("long").alias("size"), F.lit(9000).cast("long").alias("source_size"))
+    got = mixing.rounded(df.select("doc_id", "part", "source", "source_size", "size", "x", "h"), fan=8).collect()
     assert len(got) == len({r["doc_id"] for r in got}) == 3000 and abs(sum(r["more"] for r in got) - 0.37 * 3000) <= 1
 
 
