@@ -399,23 +399,39 @@ def _parts(texts: list[bytes]):
     yield texts[at:]
 
 
-def worded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slice's distinct word keys (END is one), the id of each token and the tokens of each text; a text's end comes last."""
-    held = Numbers()
+def worded(texts: list[bytes], held: Numbers):
+    """For runs of texts: the id of each token's key in `held` (a text's end comes last, as END) and the tokens of each text."""
     ends = held.ids(np.array([END], np.int64))
-    ids, sizes = [], []
     for part in _parts(texts):
         key, n = word_keys(part)
-        ids.append(np.insert(held.ids(key), np.cumsum(n), ends[0]))
-        sizes.append(n + 1)
-    return held.numbers(), np.concatenate(ids), np.concatenate(sizes)
+        yield np.insert(held.ids(key), np.cumsum(n), ends[0]), n + 1
 
 
-def paired(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slice's distinct codes and the id of each byte's; a text's end counts as a byte."""
-    held = Numbers()
-    ids = [held.ids(coded(part, depth)) for part in _parts(texts)]
-    return held.numbers(), np.concatenate(ids)
+def paired(texts: list[bytes], held: Numbers, depth: int):
+    """For runs of texts: the id of each byte's code in `held` and the bytes of each text, its end counted."""
+    for part in _parts(texts):
+        yield held.ids(coded(part, depth)), np.array([len(t) + 1 for t in part], np.int64)
+
+
+def counted(runs, held: Numbers, train: np.ndarray) -> np.ndarray:
+    """How often each number occurs in the training texts."""
+    out, at = np.zeros(0, np.int64), 0
+    for ids, sizes in runs:
+        more = np.bincount(ids[np.repeat(train[at : at + len(sizes)], sizes)], minlength=held.count)
+        more[: len(out)] += out
+        out, at = more, at + len(sizes)
+    return out
+
+
+def added(runs, *values: np.ndarray) -> list[np.ndarray]:
+    """For each text the sums of the values of its ids, and how many there are."""
+    out: list[list[np.ndarray]] = [[] for _ in range(len(values) + 1)]
+    for ids, sizes in runs:
+        starts = np.cumsum(sizes) - sizes
+        for k, v in enumerate(values):
+            out[k].append(np.add.reduceat(v[ids], starts))
+        out[-1].append(sizes)
+    return [np.concatenate(x) for x in out]
 
 
 def part_of(key: np.ndarray, bits: int) -> np.ndarray:
@@ -453,12 +469,11 @@ def packs(cut: DataFrame, depth: int, bits: int) -> DataFrame:
         for sid, ids, lengths, pack in _one_by_one(batches):
             texts = _texts(lengths, pack)
             train = np.array([not is_held_out(i) for i in ids])
-            words, token, sizes = worded(texts)
-            codes, byte = paired(texts, depth)
-            for kind, key, which, each in ((0, words, token, sizes), (1, codes, byte, np.array(lengths) + 1)):
-                n = np.bincount(which, np.repeat(train, each), len(key)).astype(np.int64)
-                by, part = ordered(key, bits)
-                key, n = key[by], n[by]
+            for kind in (0, 1):
+                held = Numbers()
+                n = counted(paired(texts, held, depth) if kind else worded(texts, held), held, train)
+                by, part = ordered(held.numbers(), bits)
+                key, n = held.numbers()[by], n[by]
                 cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
                 rows = [(kind, int(part[a]), sid, _squeezed(key[a:b], z), _squeezed(n[a:b], z)) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "sid", "keys", "n"])
@@ -576,15 +591,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
         z = zstandard.ZstdDecompressor()
         for ids, lengths, pack, got in _one_by_one(batches):
             texts = _texts(lengths, pack)
-            words, token, sizes = worded(texts)
-            codes, byte = paired(texts, depth)
-            c, p = np.empty(len(words), np.int64), np.empty(len(codes), np.float64)
-            c[ordered(words, bits)[0]] = np.concatenate([_loose(g["values"], np.int64, z) for g in got if g["kind"] == 0])
-            p[ordered(codes, bits)[0]] = np.concatenate([np.frombuffer(z.decompress(g["values"]), np.float32) for g in got if g["kind"] == 1])
-            starts, begin = np.cumsum(sizes) - sizes, np.cumsum(np.array(lengths) + 1) - np.array(lengths) - 1
-            bits_ = np.add.reduceat(p[byte], begin)
+            sums = []
+            for kind in (0, 1):
+                held = Numbers()
+                runs = list(paired(texts, held, depth) if kind else worded(texts, held))  # the numbers come in the order in which they were packed
+                mine = [z.decompress(g["values"]) if kind else _loose(g["values"], np.int64, z) for g in got if g["kind"] == kind]
+                value = np.empty(held.count)
+                value[ordered(held.numbers(), bits)[0]] = np.frombuffer(b"".join(mine), np.float32) if kind else np.concatenate(mine)
+                sums.append(added(runs, value) if kind else added(runs, (value > 0).astype(np.int64), np.log10(value + 1)))
+            (known_, base, sizes), (bits_, _) = sums
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64)[token], starts)), pa.array(np.add.reduceat(np.log10(c + 1.0)[token], starts)), pa.array(bits_), pa.array(bits_ * -math.log2(10) / (np.array(lengths) + 1))],
+                [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(known_), pa.array(base), pa.array(bits_), pa.array(bits_ * -math.log2(10) / (np.array(lengths) + 1))],
                 ["doc_id", "n_tokens", "n_known", "base", "score", "bits_per_byte"],
             )
 
