@@ -174,17 +174,13 @@ def keep(df: DataFrame, net: Network, threshold: float = THRESHOLD, text_col: st
     """The rows of df, all columns, whose text scores at least the threshold. A text is taken as its bytes, whatever they are."""
     import pyarrow as pa
 
+    kind, at = df.schema[text_col].dataType, df.columns.index(text_col)
+
     def apply(batches):
         for batch in batches:
             for part in slices(batch, 512):
-                good = net.scores([t or b"" for t in part.column(part.num_columns - 1).to_pylist()]) >= threshold
-                yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1]).filter(pa.array(good))
-
-    kept = df.columns
-    return df.select(*kept, F.col(text_col).cast("binary").alias(_free("_bytes", kept))).mapInArrow(apply, df.schema)
-
+                good = net.scores([t or b"" for t in part.column(at).to_pylist()]) >= threshold
+                yield part.filter(pa.array(good))
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
+    raw = df.withColumn(text_col, F.col(text_col).cast("binary"))
+    return raw.mapInArrow(apply, raw.schema).withColumn(text_col, F.col(text_col).cast(kind))
