@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import PurePath
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.titles import normal_title
+
 
 def file_status(incoming: DataFrame, state: DataFrame) -> DataFrame:
     """incoming: source_path, file_hash, normalized_title, error (null if it was parsed). state: the indexed documents.
@@ -58,15 +62,17 @@ def duplicate_titles(docs: DataFrame) -> DataFrame:
     return docs.groupBy("normalized_title").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id")).where("n > 1")
 
 
-def delete_matches(docs: DataFrame, wanted: str) -> DataFrame:
-    """Documents that a delete request names: by id, path, file name, stem, title or normalised title; matched_by says how."""
-    from ..functions import text as T
+def delete_keys(wanted: str) -> list[str]:
+    """The normal forms of a delete request: as a title, as a file name, and as one without its ending."""
+    name = PurePath(wanted.strip()).name
+    return [k for k in dict.fromkeys(normal_title(x) for x in (wanted.strip(), name, PurePath(name).stem)) if k]
 
-    name = F.substring_index("source_path", "/", -1)
-    stem = F.regexp_replace(name, r"\.md$", "")
-    tests = [("doc_id", F.col("doc_id") == wanted), ("source_path", F.col("source_path") == wanted), ("filename", F.lower(name) == wanted.lower()), ("stem", F.lower(stem) == wanted.lower()), ("title", F.col("title") == wanted), ("normalized_title", F.col("normalized_title") == T.normalize_title(F.lit(wanted)))]
-    return docs.withColumn("matched_by", F.coalesce(*[F.when(t, F.lit(k)) for k, t in tests])).where("matched_by is not null")
 
-
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+def delete_matches(docs: DataFrame, wanted: str) -> DataFrame:
+    """Documents that a delete request names, by title, else by file name; matched_by says how."""
+    keys, name = delete_keys(wanted), F.substring_index("source_path", "/", -1)
+    # the title's rule for a file name without its ending, on the column
+    stem = T.normalize_title(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
+    by_name = (F.lower(name) == PurePath(wanted.strip()).name.lower()) | stem.isin(keys)
+    by = F.when(F.col("normalized_title").isin(keys), F.lit("title")).when(by_name, F.lit("filename"))
+    return docs.withColumn("matched_by", by).where("matched_by is not null")

@@ -28,15 +28,21 @@ class RetryableError(Exception):
     """A failure that may pass."""
 
 
+#: By these a message says that its failure may pass.
+PASSING = ("timed out", "timeout", "temporarily unavailable", "temporary failure", "engine is currently overloaded", "engine_overloaded_error", "overloaded", "rate limit", "too many requests", "connection error", "connection reset", "connection aborted", "server error")
+
+
 def is_retryable(error: Exception) -> bool:
     status = getattr(error, "status_code", None) or getattr(error, "code", None)
     if isinstance(error, (RetryableError, TimeoutError, ConnectionError)):
         return True
-    return isinstance(status, int) and (status in (408, 409, 429) or status >= 500)
+    if isinstance(status, int) and (status in (408, 409, 429) or status >= 500):
+        return True
+    return any(p in str(error).lower() for p in PASSING)
 
 
 def retry_delay(attempt: int, base: float = 1.0, limit: float = 8.0) -> float:
-    return min(base * 2 ** (attempt - 1), limit)
+    return min(base * 2 ** max(attempt - 1, 0), limit)
 
 
 def with_retries(f: Callable[[], Any], tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> Any:
@@ -77,20 +83,39 @@ class WordReranker:
         return sorted(scored, key=lambda x: (-x[1], x[0]))[:top_n]
 
 
-def embed_chunks(chunks, embedder: Embedder, batch: int = 10):
-    """Adds `vector` to chunks, in the workers, `batch` texts a request; the input line order is title, section, keywords, text."""
+def embedding_input(c):
+    """The text that is embedded for a chunk (a struct with title, section_hint, keywords_hint and text): a line for each that is there."""
     from pyspark.sql import functions as F
-    from pyspark.sql.pandas.functions import pandas_udf
 
     from .functions import text as T
 
-    line = lambda name, c: F.concat(F.lit(f"{name}: "), T.present(c))
-    source = F.concat_ws("\n", line("Title", "title"), line("Section", "section_hint"), line("Keywords", "keywords_hint"), line("Text", "text"))
+    line = lambda name, x: F.concat(F.lit(f"{name}: "), T.present(x))
+    return F.concat_ws("\n", line("Title", c["title"]), line("Section", c["section_hint"]), line("Keywords", c["keywords_hint"]), line("Text", c["text"]))
+
+
+def embed_documents(done, embedder: Embedder, batch: int = 10):
+    """Adds `vector` to every chunk of every document, in the workers, `batch` texts a request. A document whose chunks cannot
+    be embedded gets an error instead, and the others go on. Vectors of a wrong number are an error too."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.functions import pandas_udf
 
     def vectors(texts):
         import pandas as pd
 
-        values = texts.tolist()
-        return pd.Series([v for i in range(0, len(values), batch) for v in embedder.embed_texts(values[i : i + batch])])
-
-    return chunks.withColumn("vector", pandas_udf(vectors, "array<float>")(source))
+        out = []
+        for own in texts:
+            found, error = [], None
+            try:
+                for i in range(0, len(own), batch):
+                    found += [list(map(float, v)) for v in embedder.embed_texts(list(own[i : i + batch]))]
+                if len(found) != len(own):
+                    raise ValueError(f"{len(found)} vectors for {len(own)} chunks")
+            except Exception as e:
+                found, error = [], f"embedding failed: {e}"
+            out.append((found, error))
+        return pd.DataFrame(out, columns=["vectors", "error"])
+
+    source = F.transform("chunks", lambda c: embedding_input({"title": F.col("title"), "section_hint": c["section_hint"], "keywords_hint": c["keywords_hint"], "text": c["text"]}))
+    made = done.withColumn("_e", pandas_udf(vectors, "vectors array<array<float>>, error string")(source))
+    with_vectors = F.transform("chunks", lambda c, i: c.withField("vector", F.get("_e.vectors", i)))
+    return made.withColumn("chunks", with_vectors).withColumn("error", F.col("_e.error")).drop("_e")
