@@ -47,11 +47,14 @@ def normalize_title(c: Column | str) -> Column:
 
 
 def clean_title(c: Column | str) -> Column:
-    """A title without math delimiters, commands, script marks and the parentheses of roman numerals."""
-    plain = F.regexp_replace(col(c), r"\$([^$]*)\$", "$1")
-    plain = F.regexp_replace(plain, r"\\[A-Za-z]+", " ")
-    plain = F.regexp_replace(plain, r"[_^{}]", "")
-    return collapse(F.regexp_replace(plain, r"\(([ivxlcdm]+)\)", "$1"))
+    """A title with formulas between dollars as words (symbols set apart by marks are one word), roman numerals without
+    parentheses, and no commands or script marks. The same as titles.clean_title, on columns."""
+    marks = r"\\[A-Za-z]+|[_^{}]"
+    formula = lambda m: F.regexp_replace(collapse(F.regexp_replace(F.regexp_replace(m, marks, " "), rf"[^0-9a-zA-Z{CJK}\s]+", " ")), r"(?<=(?:^|\s)[0-9A-Za-z]) (?=[0-9A-Za-z](?:\s|$))", "")
+    between, inside = F.split(col(c), r"\$.+?\$", -1), F.regexp_extract_all(col(c), F.lit(r"\$(.+?)\$"), F.lit(1))
+    joined = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.when(i < F.size(inside), formula(F.get(inside, i))).otherwise(F.lit("")))), "")
+    plain = F.when(F.contains(col(c), F.lit("$")), joined).otherwise(col(c))
+    return collapse(F.regexp_replace(F.regexp_replace(plain, r"(?i)\(\s*([ivxlcdm]+)\s*\)", "$1"), marks, " "))
 
 
 def query_key(c: Column | str) -> Column:
@@ -59,6 +62,13 @@ def query_key(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(c)), rf"(?U)[^\w{CJK}]+", " "))
 
 
+def distinct_words(values: Column) -> Column:
+    """An array's strings in order, blanks dropped; equal up to case and punctuation counts once."""
+    trimmed = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
+    keys = F.transform(trimmed, lambda x: F.regexp_replace(F.lower(x), r"(?U)\W+", ""))
+    return F.filter(trimmed, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+
 def constraint_text(c: Column | str) -> Column:
     return collapse(F.regexp_replace(F.lower(col(c)), rf"[^0-9a-z{CJK}\s.-]", " "))
 
@@ -113,6 +123,18 @@ def citation(title, page_start, page_end, chunk_id) -> Column:
     return F.concat(col(title), F.lit(" ("), pages, F.lit(", chunk "), short_chunk_id(chunk_id), F.lit(")"))
 
 
+def merged_citation(title, places: Column) -> Column:
+    """A title with several places (structs of page_start, page_end, chunk_id)."""
+    page = lambda x: F.when(x["page_start"] == x["page_end"], F.concat(F.lit("p. "), x["page_start"].cast("string"))).otherwise(F.concat(F.lit("pp. "), x["page_start"].cast("string"), F.lit("-"), x["page_end"].cast("string")))
+    return F.concat(col(title), F.lit(" ("), F.array_join(F.transform(places, lambda x: F.concat(page(x), F.lit(", chunk "), short_chunk_id(x["chunk_id"]))), "; "), F.lit(")"))
+
+
+def numbered(lines: Column, form: str = "{}. ", between: str = "\n\n") -> Column:
+    """An array's lines, each after its number."""
+    before, after = form.split("{}")
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit(before), (i + 1).cast("string"), F.lit(after), x)), between)
+
+
 def answer_line(c: Column | str) -> Column:
     """Without a leading list number."""
     return collapse(F.regexp_replace(col(c), r"^\s*[0-9]+[.)、]\s*", ""))
@@ -125,6 +147,17 @@ def json_block(c: Column | str) -> Column:
     return F.coalesce(present(fenced), present(bare))
 
 
+def retry_delay(attempt: Column, base: float = 1.0, limit: float = 8.0) -> Column:
+    return F.least(F.lit(limit), F.lit(base) * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0))))
+
+
+def document_numbers(refs: Column, documents: Column) -> Column:
+    """For each reference (a place in `documents`, from 1) the number of its document, counted by first appearance in `refs`."""
+    named = F.transform(refs, lambda r: F.get(documents, (r - 1).cast("int")))
+    distinct = F.array_distinct(named)
+    return F.transform(named, lambda d: F.array_position(distinct, d))
+
+
 def ref_ids(c: Column | str, most: int | Column) -> Column:
     """Numbers inside brackets such as [1] or [8, 82], in order, distinct, from 1 to most."""
     groups = F.regexp_extract_all(col(c), F.lit(r"\[([0-9,\s]+)\]"), F.lit(1))

@@ -62,24 +62,29 @@ def kw_bm25_topk(spark, sf_dir):
 
 
 def _keyword(spark, sf_dir):
-    found = lexical.bm25(table(spark, sf_dir, "documents"), TERMS).withColumn("bm25", F.round("bm25", 9))
-    return lexical.ranked(found, "bm25", "keyword_rank", TOP_K, "doc_id").withColumn("score_keyword", F.lit(1.0))
+    return lexical.search(table(spark, sf_dir, "documents"), TERMS, TOP_K)
 
 
-@query(f"WITH w AS (SELECT doc_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS t FROM documents) SELECT doc_id FROM w WHERE contains(t, ' of the ') AND contains(t, ' in ')")
+_PADDED = f"w AS (SELECT doc_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS t FROM documents)"
+
+
+@query(f"WITH {_PADDED} SELECT doc_id FROM w WHERE contains(t, ' of the ') AND contains(t, ' in ')")
 def kw_phrase_match(spark, sf_dir):
     return lexical.phrases(table(spark, sf_dir, "documents"), ["of the", "in"]).select("doc_id")
 
 
-@query(f"WITH w AS (SELECT doc_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS t FROM documents) SELECT doc_id FROM w WHERE contains(t, ' of ') AND contains(t, ' in ') AND contains(t, ' near ')")
+@query(f"WITH {_PADDED} SELECT doc_id, CASE WHEN contains(t, ' of ') AND contains(t, ' in ') AND contains(t, ' near ') THEN 1 ELSE 0 END + CASE WHEN contains(t, ' near the ') THEN 2 ELSE 0 END AS found FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' near the' || t ELSE t END AS t FROM w)")
 def kw_near_compat(spark, sf_dir):
-    return lexical.phrases(table(spark, sf_dir, "documents"), ["of", "in"], "compat").select("doc_id")
+    """Several phrases are joined by the word near, which must then occur; a third of the documents start with it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, "Near the ").otherwise(""), "text").alias("text"))
+    both = lexical.phrases(d, ["of", "in"], "compat").select("doc_id", F.lit(1).alias("a"))
+    one = lexical.phrases(d, ["near the"], "compat").select("doc_id", F.lit(2).alias("b"))
+    return d.select("doc_id").join(both, "doc_id", "left").join(one, "doc_id", "left").select("doc_id", (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("found"))
 
 
 @query(f"WITH w AS (SELECT doc_id, {_TOKENS} AS t FROM documents), u AS (SELECT doc_id, unnest(t) AS term FROM w) SELECT term, count(*) AS total, count(DISTINCT doc_id) AS df FROM u GROUP BY term")
 def kw_tokenize_stats(spark, sf_dir):
-    posts = lexical.postings(table(spark, sf_dir, "documents"))
-    return posts.groupBy("term").agg(F.sum("tf").cast("long").alias("total"), F.count("*").alias("df"))
+    return lexical.term_counts(table(spark, sf_dir, "documents"))
 
 
 @query(
@@ -199,7 +204,7 @@ _NORM = "trim(regexp_replace(regexp_replace(lower(text), '[^0-9a-z\\x{4e00}-\\x{
 
 
 @query(
-    f"""WITH n AS (SELECT doc_id, {_NORM} AS norm, regexp_replace(lower(text), '\\s+', '', 'g') AS compact, round(length(text) / (length(text) + 1000.0), 9) AS s FROM documents),
+    f"""WITH n AS (SELECT doc_id, {_NORM} AS norm, replace(lower(text), ' ', '') AS compact, round(length(text) / (length(text) + 1000.0), 9) AS s FROM documents),
 m AS (SELECT *, {_sql_match(ENTITIES)} AS e, {_sql_match(CONDITIONS)} AS c, {_sql_match(RELATIONS)} AS r, {' + '.join(f'{_sql_match(g)}::INT' for g in GROUPS)} AS g,
   array_to_string(list_filter([{', '.join(f"CASE WHEN NOT {_sql_match(g)} THEN '{' | '.join(g)}' END" for g in GROUPS)}], lambda x: x IS NOT NULL), '; ') AS missing FROM n),
 p AS (SELECT *, least(1.0, 0.25 * e::INT + 0.35 * c::INT + 0.1 * r::INT + 0.3 * g / {len(GROUPS)} + 0.2 * (e AND c)::INT + 0.1 * (g = {len(GROUPS)})::INT) * CASE WHEN c THEN 1 ELSE 0.2 END * CASE WHEN e THEN 1 ELSE 0.35 END AS k FROM m)
@@ -290,12 +295,16 @@ def duplicate_titles(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_ENTRIES}, old AS (SELECT * FROM entries WHERE n % 2 = 0), new AS (SELECT 'x' || doc_id AS doc_id, source_path, normalized_title FROM entries WHERE n % 3 = 0)
+    f"""WITH {_ENTRIES}, new AS (SELECT 'x' || doc_id AS doc_id, CASE WHEN n_chars % 2 = 0 THEN source_path ELSE '/new' || source_path END AS source_path, normalized_title FROM entries WHERE n_chars % 3 = 0),
+old AS (SELECT doc_id, source_path, normalized_title || CASE WHEN n_chars % 5 = 0 THEN ' old' ELSE '' END AS normalized_title FROM entries)
 SELECT doc_id FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) AND source_path NOT IN (SELECT source_path FROM new) AND normalized_title NOT IN (SELECT normalized_title FROM new) UNION ALL SELECT doc_id FROM new"""
 )
 def upsert_anti(spark, sf_dir):
-    entries = _titled(spark, sf_dir).select("doc_id", "source_path", "normalized_title", "n")
-    old, new = entries.where("n % 2 = 0").drop("n"), entries.where("n % 3 = 0").drop("n").withColumn("doc_id", F.concat(F.lit("x"), "doc_id"))
+    """All documents are stored, some under older titles; those of every third length come in again, half of them from elsewhere."""
+    entries = _titled(spark, sf_dir).select("doc_id", "source_path", "normalized_title", "n_chars")
+    old = entries.withColumn("normalized_title", F.concat("normalized_title", F.when(F.col("n_chars") % 5 == 0, " old").otherwise(""))).drop("n_chars")
+    path = F.when(F.col("n_chars") % 2 == 0, F.col("source_path")).otherwise(F.concat(F.lit("/new"), "source_path"))
+    new = entries.where("n_chars % 3 = 0").select(F.concat(F.lit("x"), "doc_id").alias("doc_id"), path.alias("source_path"), "normalized_title")
     return index.replaced(old, new).select("doc_id")
 
 
@@ -378,3 +387,6 @@ def section_chunks(spark, sf_dir):
     text = F.concat(F.lit("# "), "heading", F.lit("\n\n## Abstract\n\n"), "heading", F.lit(".\n\n## "), "title", F.lit("\n\n"), "text")
     files = pages.select(F.col("page_id").cast("string").alias("source_path"), T.content_hash("text").alias("file_hash"), text.alias("text"), F.lit(None).cast("string").alias("error"))
     return chunking.chunk_table(chunking.chunk_documents(files))
+
+
+from . import evidence  # noqa: E402, F401  (registers its queries)

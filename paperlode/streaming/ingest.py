@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 
 def _workspace(spark: SparkSession) -> str:
-    """A folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="paperlode-")
+    """A folder that driver and executors share, as spark.checkpoint.dir names it. Where it is unset, a temporary one in a
+    session of one machine, and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="paperlode-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
