@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.error
 import urllib.request
 from collections import OrderedDict
@@ -32,6 +33,8 @@ def post(url: str, key: str, body: dict[str, Any], timeout: float = 60.0) -> dic
 
 def json_object(text: str) -> dict[str, Any]:
     """The JSON object in a model's answer, fenced or bare."""
+    if fenced := re.search(r"```json\s*(\{.*?\})\s*```", text, re.DOTALL):
+        return json.loads(fenced[1])
     start, end = text.find("{"), text.rfind("}")
     if start < 0 or end < start:
         raise ValueError("no JSON object in the answer")
@@ -60,6 +63,9 @@ class ChatClient:
                 raise
             return json_object(answer["choices"][0]["message"]["content"])
 
+    def close(self) -> None:
+        """Requests hold no connection; there is nothing to close."""
+
 
 @dataclass
 class EmbeddingClient:
@@ -94,32 +100,44 @@ class EmbeddingClient:
         return self._known[name]
 
 
+def scored_item(item: Any) -> tuple[int, float] | None:
+    """A reranker's item as (position, score); None for what has no whole position and no number."""
+    if not isinstance(item, dict) or not isinstance(item.get("index"), int) or isinstance(item.get("index"), bool):
+        return None
+    value = item.get("relevance_score", item.get("score"))
+    try:
+        return item["index"], float(value)
+    except (TypeError, ValueError):
+        return None
+
+
+def result_items(answer: dict[str, Any]) -> list[Any]:
+    """Where services put their results."""
+    output = answer.get("output")
+    places = (output.get("results") if isinstance(output, dict) else None, answer.get("results"), answer.get("data"))
+    return next((p for p in places if isinstance(p, list) and p), [])
+
+
 @dataclass
 class RerankClient:
     url: str
     key: str
     model: str
     tries: int = 3
+    instruct: str = ""
 
     def rerank(self, *, query: str, documents: list[str], top_n: int | None = None) -> list[tuple[int, float]]:
         """(position, score) pairs. Items without a whole position and a score are dropped; none left is an error."""
         if not documents:
             return []
-        body = {"model": self.model, "query": query, "documents": documents, "top_n": top_n or len(documents)}
+        body = {"model": self.model, "query": query, "documents": documents, "top_n": top_n or len(documents)} | ({"instruct": self.instruct} if self.instruct else {})
         answer = with_retries(lambda: post(self.url, self.key, body), self.tries)
-        if answer.get("code") or answer.get("error"):
-            raise ServiceError(f"the reranker failed: {answer.get('message') or answer.get('error') or answer['code']}")
-        items = (answer.get("output") or {}).get("results") or answer.get("results") or answer.get("data") or []
-        out = []
-        for x in items:
-            if isinstance(x, dict) and isinstance(x.get("index"), int):
-                try:
-                    out.append((x["index"], float(x.get("relevance_score", x.get("score")))))
-                except (TypeError, ValueError):
-                    continue
-        if not out:
+        if wrong := answer.get("error") or answer.get("code"):
+            raise ServiceError(f"the reranker failed: {answer.get('message') or wrong}")
+        found = [pair for pair in map(scored_item, result_items(answer)) if pair]
+        if not found:
             raise ServiceError("the reranker's answer holds no usable result")
-        return out
+        return found
 
 
 __all__ = ["ChatClient", "EmbeddingClient", "RerankClient", "ServiceError", "is_retryable", "json_object", "post"]
