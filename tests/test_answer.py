@@ -98,7 +98,7 @@ def test_payloads():
     assert prompts.reference_payload(h, 4)["ref_id"] == 4 and "section_hint" not in prompts.reference_payload(hit(1), 1)
     assert prompts.chunk_rerank_text(h) == f"Title: D\nChunk: {h['chunk_id']}\nSection: S\nEvidence: text 1"
     doc = {"title": "D", "top_chunks": [h, hit(2), hit(3), hit(4)]}
-    assert prompts.document_rerank_text(doc).count("Evidence") == 3 and prompts.document_rerank_text(doc, 3, 10) == "Title: ..."
+    assert prompts.document_rerank_text(doc).count("Evidence") == 3 and prompts.document_rerank_text(doc, 3, 10) == "Title:..."
     assert excerpt("a  b", 0) == "a b" and excerpt("abcdef", 5) == "ab..." and excerpt("abcdef", 2) == "ab" and excerpt(" ") is None
     assert citing.rerank_batches(["x" * 400, "y" * 400, "z" * 9000], "q", budget=330) == [[0, 1], [2]] and citing.rerank_batches([], "q") == []
 
@@ -151,7 +151,7 @@ def test_research(store):
     long = "word " * 120
     chat = Script(reports=["short [1]", long + "[1][2] and [1, 99]."])
     out = A.research(store, "q", llm=chat, **services())
-    assert out["report"].endswith("[1][2] and [1].") and len(out["citations"]) == 2 and [s for s, _ in chat.asked][-1] == prompts.EXTENDER
+    assert out["report"].endswith("[1][2]and [1].") and len(out["citations"]) == 2 and [s for s, _ in chat.asked][-1] == prompts.EXTENDER
     assert out["chunks_in_context"] == out["chunks_reranked"] == out["chunks_recalled"] == 6
     with pytest.raises(StageError) as e:
         A.research(store, "q", llm=Script(reports=["short", "short"]), **services())
