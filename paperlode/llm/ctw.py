@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, map_rows, slices, staged, text_bytes, whole_groups
 
-DEPTH, SLICE = 4, 8 << 20
+DEPTH, SLICE = 4, 4 << 20
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: The decision nodes of each byte (1..255, the root is 1), and the bits taken there.
