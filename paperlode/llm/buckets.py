@@ -50,36 +50,75 @@ def column(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)
 
 
-def compared(filed: DataFrame, keep: Callable[[dict, np.ndarray, np.ndarray], np.ndarray], member: str, kind: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """From `key` (long), `member` (long) and columns that `keep` needs: pairs (a < b) of members of one key for which
-    keep(columns, i, j) holds; a pair that shares several keys may come several times. A member is in a key once; nothing is
-    null. kind: a column (long); members that agree in it are not compared."""
+def dealt(filed: DataFrame, member: str, kind: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """key, cell, part and the other columns: members in the cells of their buckets, each bucket's cells together and in order."""
     names = [c for c in filed.columns if c != "key"]
     big = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     big = staged(big.select(F.col("key").alias("_k"), F.ceil(F.col("n") / limit).cast("int").alias("parts")), "big-buckets")
-    dealt = filed.join(big, F.col("key") == F.col("_k"), "left")
-    part = F.pmod(F.xxhash64(member), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = filed.join(big, F.col("key") == F.col("_k"), "left").withColumn("part", F.pmod(F.xxhash64(member), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     low, high = F.least("part", "other").cast("long"), F.greatest("part", "other").cast("long")
-    cells = dealt.select("key", (low * (1 << 31) + high).alias("cell"), "part", *names).repartition("key", "cell").sortWithinPartitions("key", "cell", *([kind] if kind else []))
+    return rows.select("key", (low * (1 << 31) + high).alias("cell"), "part", *names).repartition("key", "cell").sortWithinPartitions("key", "cell", *([kind] if kind else []))
+
+
+def compared(filed: DataFrame, keep: Callable[[dict, np.ndarray, np.ndarray], np.ndarray], member: str, kind: str | None = None, limit: int = LIMIT) -> DataFrame:
+    """From `key` (long), `member` (long) and columns that `keep` needs: pairs (a < b) of members of one key for which
+    keep(columns, i, j) holds; a pair that shares several keys may come several times. A member is in a key once; nothing is
+    null. kind: a column (long); members that agree in it are not compared."""
 
     def found(batches):
-        def pairs(table: pa.Table):
-            c = {n: column(table.column(n).combine_chunks()) for n in table.column_names}
+        for t in whole_groups(batches, "key", "cell"):
+            c = {n: column(t.column(n).combine_chunks()) for n in t.column_names}
             new = np.concatenate([[True], (c["key"][1:] != c["key"][:-1]) | (c["cell"][1:] != c["cell"][:-1])])
             for i, j in pairs_of(np.cumsum(new), c[kind] if kind else None):
                 split = (c["cell"][i] >> 31) != (c["cell"][i] & 0x7FFFFFFF)
                 ok = ~(split & (c["part"][i] == c["part"][j]))  # such a pair meets in its own part's cell
                 i, j = i[ok], j[ok]
                 good = keep(c, i, j)
-                a, b = c[member][i[good]], c[member][j[good]]
-                once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+                yield _pairs(c[member][i[good]], c[member][j[good]])
 
-        for table in whole_groups(batches, "key", "cell"):
-            yield from pairs(table)
+    return dealt(filed, member, kind, limit).mapInArrow(found, "a long, b long")
 
-    return cells.mapInArrow(found, "a long, b long")
+
+def starred(filed: DataFrame, bits: list[str], keep: Callable[[dict, np.ndarray, np.ndarray], np.ndarray], member: str, limit: int = LIMIT) -> DataFrame:
+    """Pairs (a < b) of each member of a key with the key's middle, where keep() holds: the member whose bits (long columns)
+    differ least from what most members have. Of a bucket of over `limit` members each part has a middle of its own."""
+
+    def found(batches):
+        for t in whole_groups(batches, "key", "cell"):
+            c = {n: column(t.column(n).combine_chunks()) for n in t.column_names}
+            own = (c["cell"] >> 31) == (c["cell"] & 0x7FFFFFFF)
+            c = {n: x[own] for n, x in c.items()}
+            if not len(c["key"]):
+                continue
+            group = np.cumsum(np.concatenate([[True], (c["key"][1:] != c["key"][:-1]) | (c["cell"][1:] != c["cell"][:-1])])) - 1
+            size = np.bincount(group)
+            some = size[group] > 1
+            c, group = {n: x[some] for n, x in c.items()}, group[some]
+            if not len(group):
+                continue
+            head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.append(head, len(group)))
+            word = np.ascontiguousarray(np.stack([c[b] for b in bits], 1))
+            far = np.empty(len(group), np.int64)
+            for at in range(0, len(head), 2048):  # so many buckets at a time
+                lo, hi = head[at], head[at + 2048] if at + 2048 < len(head) else len(group)
+                ones = np.unpackbits(word[lo:hi].view(np.uint8).reshape(hi - lo, -1), axis=1)
+                many = 2 * np.add.reduceat(ones, head[at : at + 2048] - lo, 0, dtype=np.int32) > size[at : at + 2048, None]
+                far[lo:hi] = (ones != np.repeat(many, size[at : at + 2048], 0)).sum(1)
+            middle = np.lexsort((c[member], far, group))[head]
+            i, j = np.arange(len(group)), np.repeat(middle, size)
+            i, j = i[i != j], j[i != j]
+            good = keep(c, i, j)
+            yield _pairs(c[member][i[good]], c[member][j[good]])
+
+    return dealt(filed, member, None, limit).mapInArrow(found, "a long, b long")
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import compared, differing
+from .buckets import compared, differing, starred
 from .common import discard, map_rows, staged, text_bytes
 from .components import components
 
@@ -138,8 +138,8 @@ def differing_share(similarity: float) -> float:
 
 
 def wide_shape(rows: int, similarity: float, miss: float = MISS) -> tuple[int, int]:
-    """Blocks and bits of a block: about four unrelated texts share a block's value, however many there are."""
-    width = max(16, math.ceil(math.log2(max(1, rows))) - 2)
+    """Blocks and bits of a block: fewer than one unrelated text shares a block's value, however many there are."""
+    width = max(16, math.ceil(math.log2(max(1, rows))) + 1)
     agree = (1 - differing_share(similarity)) ** width
     return math.ceil(math.log(miss) / math.log(1 - agree)), width
 
@@ -216,8 +216,8 @@ def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str =
     join their shingle sets.
 
     A node is a distinct shingle set, whatever ids its rows have. Its SimHash is wide enough for so many blocks that a pair at
-    the similarity shares one but for `miss`. In the first blocks each member of a value is tried with the least one there,
-    which makes most of a large group one component at a cost that grows with its members; then all blocks propose every
+    the similarity shares one but for `miss`. In the first blocks each member of a value is tried with the middle one there,
+    which makes the copies of a text one component at a cost that grows with their number; then all blocks propose every
     pair of different components. A proposed pair's Hamming distance is checked, then the sets themselves, so that every link
     is a true one. Null and empty texts are one node.
     """
@@ -264,7 +264,6 @@ def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str =
     def fits(a: str, b: str):
         return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
-    first = filed(nodes.select("node", "fp"), min(FIRST, blocks)).select("node", "key")
     def closer(pairs: DataFrame) -> DataFrame:
         """Pairs of nodes whose sizes and whole fingerprints allow the similarity, staged."""
         for end in "ab":
@@ -279,23 +278,23 @@ def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str =
 
         return f
 
-    star = first.join(first.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "key")
-    star = star.where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    star = closer(star)
-    sure = verified(star, nodes, texts, similarity, width)
-    known = components(sure).withColumnRenamed("node", "_n")
-
-    rooted = nodes.join(known, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "fp")
-    rooted = staged(rooted, "near-rooted")
     halves = [F.conv(F.hex(F.substring("fp", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(SKETCH // 64)]
-    entries = filed(rooted, blocks).select("key", "node", "root", "size", *halves)
     some = most_differing(SKETCH, similarity)
 
     def near(c, i, j):
         x, y = c["size"][i], c["size"][j]
-        differ = sum(np.bitwise_count(c[f"s{k}"][i] ^ c[f"s{k}"][j]).astype(np.int64) for k in range(SKETCH // 64))
+        differ = sum(np.bitwise_count((c[f"s{k}"][i] ^ c[f"s{k}"][j]).view(np.uint64)).astype(np.int64) for k in range(SKETCH // 64))
         return (differ <= some) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
 
+    first = filed(nodes.select("node", "size", "fp"), min(FIRST, blocks)).select("key", "node", "size", *halves)
+    star = starred(first, [f"s{k}" for k in range(SKETCH // 64)], near, "node").distinct()
+    star = closer(star)
+    sure = verified(star, nodes, texts, similarity, width)
+    known = components(sure).withColumnRenamed("node", "_n")
+
+    rooted = nodes.join(known, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "fp")
+    rooted = staged(rooted, "near-rooted")
+    entries = filed(rooted, blocks).select("key", "node", "root", "size", *halves)
     more = staged(compared(entries, near, "node", "root").distinct(), "near-proposed")
     more = closer(more)
     roots = components(sure.unionByName(verified(more, nodes, texts, similarity, width))).withColumnRenamed("node", "_n")
