@@ -112,6 +112,7 @@ def arguments(conf: Settings) -> argparse.ArgumentParser:
         p.add_argument("--artifacts", default=conf.artifacts_path)
     p = commands.add_parser("delete", help="removes a document, by title or file name")
     p.add_argument("document")
+    p.add_argument("--delete-source", action="store_true", help="also deletes the Markdown file")
     p.add_argument("--artifacts", default=conf.artifacts_path)
     p = commands.add_parser("search", help="prints the best passages")
     p.add_argument("query")
@@ -145,7 +146,7 @@ def main(argv: list[str] | None = None, spark=None, read: Callable[[str], str] =
             paths = [address(p) for p in args.paths]
             return store.add(*paths, embedder=services.get("embedder") or embedder(conf), chunk_size=args.chunk_size, overlap=args.chunk_overlap, rebuild=args.command == "build", artifacts=address(args.artifacts))
         if args.command == "delete":
-            return store.delete(args.document, address(args.artifacts))
+            return store.delete(args.document, address(args.artifacts), args.delete_source)
         if args.command == "search":
             hits = A.search(store, args.query, args.mode, args.top_k, conf.top_k_vector, conf.top_k_keyword, services.get("embedder") or embedder(conf))
             return [r.asDict() for r in hits.select("citation", "score_final", "retrieval_source", "text").collect()]  # top_k rows

@@ -200,8 +200,18 @@ class Store:
             files.unpersist()
         return counts
 
-    def delete(self, wanted: str, artifacts: str | None = None) -> dict:
-        """Removes the one document that the request names by title or file name; none or several are errors. Its file stays."""
+    def delete_source(self, source_path: str) -> bool:
+        """Deletes a document's Markdown file; False if it is not there. Any other kind of file is refused."""
+        fs, at = self._fs(source_path if "://" in source_path else f"file://{source_path}")
+        if not fs.exists(at):
+            return False
+        if fs.getFileStatus(at).isDirectory() or not source_path.lower().endswith(".md"):
+            raise RuntimeError(f"not a Markdown file, and so not deleted: {source_path}")
+        return fs.delete(at, False)
+
+    def delete(self, wanted: str, artifacts: str | None = None, delete_source: bool = False) -> dict:
+        """Removes the one document that the request names by title or file name; none or several are errors. Its file stays
+        unless delete_source asks otherwise."""
         found = index.delete_matches(self.table("documents"), wanted).limit(6).collect()
         if not found:
             raise ValueError(f"no document matches {wanted!r}")
@@ -211,7 +221,7 @@ class Store:
         chunks = self.table("chunks").where(F.col("doc_id") == row["doc_id"]).count()
         self._commit(self._remove(self.log()["segments"], self.spark.createDataFrame([(row["doc_id"],)], "doc_id string")), self.version())
         gone = Artifacts(self.spark, artifacts).delete(row["doc_id"]) if artifacts else 0
-        return {"doc_id": row["doc_id"], "title": row["title"], "source_path": row["source_path"], "matched_by": row["matched_by"], "chunks": chunks, "artifacts_deleted": gone}
+        return {"doc_id": row["doc_id"], "title": row["title"], "source_path": row["source_path"], "matched_by": row["matched_by"], "chunks": chunks, "artifacts_deleted": gone, "source_deleted": delete_source and self.delete_source(row["source_path"])}
 
     def clear(self) -> None:
         self._commit({}, self.version())

@@ -143,7 +143,11 @@ def test_delete_by_title_and_file_name(store):
         store.delete("none.md")
     gone = store.delete("some/folder/OFF.md", artifacts=store.kept)
     assert gone["matched_by"] == "filename" and gone["chunks"] == 1 and gone["artifacts_deleted"] == 2 and (store.root / "off.md").exists()
-    assert store.delete("background paper on bone chemistry!")["matched_by"] == "title"
+    gone = store.delete("background paper on bone chemistry!", delete_source=True)
+    assert gone["matched_by"] == "title" and gone["source_deleted"] and not (store.root / "background.md").exists()
+    assert not store.delete_source(str(store.root / "background.md"))
+    with pytest.raises(RuntimeError, match="not a Markdown file"):
+        store.delete_source(str(store.root / "notes.txt"))
     assert store.table("documents").count() == 1 and store.table("chunks").where(F.col("title").startswith("Off")).count() == 0
 
 
