@@ -205,7 +205,7 @@ def asked(codes: DataFrame, mixed: list[DataFrame]) -> DataFrame:
     for d in range(depth, -1, -1):
         level = mixed[d].select("ctx", "nodes", F.col("chance").alias("ones"))
         joined = rows.join(level, F.shiftright(F.col("code") % (1 << shift), 8 * (depth - d)) == F.col("ctx"), "left").select("code", "chance", "nodes", "ones")
-        rows = map_rows(joined, make, "code long, chance binary")
+        rows = staged(map_rows(joined, make, "code long, chance binary"), "ctw-asked")  # no task runs two of these at once
 
     def valued():
         def f(c):
@@ -245,7 +245,7 @@ def values(codes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """code, value for distinct codes with their training counts n (0 for those that only held-out texts have)."""
     mixed = trees(codes.where("n > 0"), depth)
     # a byte's last decision also stands for its sibling: the pairs that were not asked for go in the join
-    seen = known(mixed[-1], depth).join(codes.where("n > 0").select("code"), "code")
+    seen = staged(known(mixed[-1], depth), "ctw-known").join(codes.where("n > 0").select("code"), "code")
     return seen.unionByName(asked(codes.where("n = 0"), mixed))
 
 
@@ -581,7 +581,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     packed = staged(packs(cut, depth, bits), "ctw-packs")
     sums = staged(summed(packed), "ctw-sums")
     total, distinct = sums.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    value = repacked(values(staged(unpacked(sums), "ctw-codes"), depth), bits)
+    value = repacked(staged(values(staged(unpacked(sums), "ctw-codes"), depth), "ctw-code-values"), bits)
     table = staged(sums.where("kind = 0").select("kind", "part", "keys", "n").unionByName(value), "ctw-values")
     answers = answered(packed, table).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "values"))).alias("got"))
 
