@@ -317,7 +317,7 @@ def test_near_duplicates_around_the_similarity(spark):
 def test_pipeline_survives_odd_tables(spark, tmp_path):
     """Nulls, repeats, long and empty texts, invalid UTF-8 and clashing names through run()."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("doc_id", "text", "lang", "source", "n_chars")
-    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (None, "the same text of some words", "en", "s", 5), (None, "the same text of some words", "en", "s", 5), (7, "word " * 30_000, "en", "s", 5), (7, "ID SHARED " * 20, None, "s", None)]
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (None, "the same text of some words", "en", "s", 5), (None, "the same text of some words", "en", "s", 5), (70007, "word " * 30_000, "en", "s", 5), (70007, "ID SHARED " * 20, None, "s", None)]
     bad = spark.createDataFrame(odd, COLUMNS).unionByName(spark.sql("SELECT 9L AS doc_id, cast(X'61FF62' AS string) AS text, 'en' AS lang, 's' AS source, 3L AS n_chars"))
     whole = docs.unionByName(bad)
     for name in ("_gone", "found", "_id", "_copies", "_part", "row", "size", "part"):
@@ -326,8 +326,8 @@ def test_pipeline_survives_odd_tables(spark, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(out[0].asDict())
-    extra = whole.where("doc_id is null or doc_id = 7")
+    extra = whole.where("doc_id is null or doc_id = 70007")
     for stage in (stages.near_duplicates, stages.secrets, stages.mix):
         assert stage(spark, extra, SF).columns == ["doc_id", "text", "lang", "source", "n_chars"]
     kept = stages.near_duplicates(spark, extra, SF).collect()
-    assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept) == [("7", 150_000), ("7", 200), ("None", 0), ("None", 27)]
+    assert sorted((str(r["doc_id"]), len(r["text"] or "")) for r in kept) == [("70007", 200), ("70007", 150_000), ("None", 0), ("None", 27)]
