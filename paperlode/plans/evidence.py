@@ -11,7 +11,7 @@ from ..operators import chunking, fusion, index, judging, lexical, ranking, vect
 from ..operators import headings as H
 from ..services import embedding_input
 from ..sources.markdown import as_files, path_order
-from .registry import _BM25, _ENTRIES, _LINES, _NORM, _QUERY_VECTOR, _RUNS, _TITLE, _VECTOR, CONDITIONS, ENTITIES, GROUPS, RELATIONS, TERMS, TOP_K, _lines, _query_vector, _runs, _sql_match, _titled, query, r6, table
+from .registry import _BM25, _ENTRIES, _LINES, _NORM, _RUNS, _VECTOR, CONDITIONS, ENTITIES, GROUPS, RELATIONS, TERMS, TOP_K, _lines, _query_vector, _runs, _sql_match, _titled, query, r6, table
 
 
 def _quoted(values) -> str:
@@ -172,7 +172,7 @@ _PACKED = f"""list_reduce(list_transform(pieces, lambda v: [v]), lambda a, v: CA
 
 @query(
     f"""WITH t AS (SELECT doc_id, 'What follows was read in ' || lang || ' by one careful reader who wrote all of it down as it stood: ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS p, 'Paper on ' || lang || ' crystals growing in water ' || translate(doc_id::VARCHAR, '0123456789', 'abcdefghij') AS title FROM documents),
-n AS (SELECT *, noise AS noisy FROM (SELECT *, (SELECT {_PLACE} OR {_METADATA} FROM (SELECT p AS x, lower(p) AS low, '' AS key)) AS noise FROM t)),
+n AS (SELECT *, (SELECT {_PLACE} OR {_METADATA} FROM (SELECT p AS x, lower(p) AS low, '' AS key)) AS noise FROM t),
 q AS (SELECT *, CASE WHEN length(p) > {_FULL} THEN {_PIECES} ELSE [p] END AS pieces FROM n),
 b AS (SELECT *, CASE WHEN noise THEN [] ELSE {_PACKED} END AS bodies FROM q),
 c AS (SELECT doc_id, title, lower(replace(title, ' ', '-')) || '-' || substr(sha1(lower(title)), 1, 8) AS id, unnest(range(0, len(bodies) + 1)) AS i, bodies FROM b),
