@@ -135,9 +135,13 @@ def numbered(lines: Column, form: str = "{}. ", between: str = "\n\n") -> Column
     return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit(before), (i + 1).cast("string"), F.lit(after), x)), between)
 
 
+#: A list number at the start. A point right before a digit is part of a value (3.5 mg, 44.144.126.223).
+LIST_NUMBER = r"(?U)^\s*\d+\s*(?:\.(?!\d)|[)、])\s*"
+
+
 def answer_line(c: Column | str) -> Column:
-    """Without a leading list number."""
-    return collapse(F.regexp_replace(col(c), r"^\s*[0-9]+[.)、]\s*", ""))
+    """Without a leading list number. The same as citing.answer_line, on columns."""
+    return collapse(F.regexp_replace(col(c), LIST_NUMBER, ""))
 
 
 def json_block(c: Column | str) -> Column:

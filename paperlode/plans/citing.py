@@ -41,8 +41,8 @@ def supporting_hits(judged: dict[str, Any], doc: dict[str, Any]) -> list[dict[st
 
 
 def answer_line(text: str) -> str:
-    """Without a list number, on one line."""
-    return " ".join(re.sub(r"^\s*\d+\s*[.)、]\s*", "", text).split())
+    """Without a list number, on one line. A point right before a digit is part of a value (3.5 mg)."""
+    return " ".join(re.sub(r"^\s*\d+\s*(?:\.(?!\d)|[)、])\s*", "", text).split())
 
 
 def numbered(lines: list[str]) -> str:

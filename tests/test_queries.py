@@ -54,6 +54,22 @@ def test_scalar_functions(spark):
     assert list(row) == [["etude", "of", "ph", "7", "4", "p", "h", "8"], ["7.4", "8"], '{"a": 1}', [3, 8], 7, True, "yes it is"]
 
 
+def test_answer_lines_keep_numbers_of_the_text(spark, tmp_path):
+    from paperlode.functions import text as T
+    from paperlode.plans.citing import answer_line
+
+    starts = ["44.144.126.223 x", "3.5 mg  a\nlitre", "7) x", "1. 2) x", " 12、x", "8 . x", "", "x 1. y", None]
+    rows = [(n, t) for n in (*range(4), -1, None) for t in starts]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES["answer_lines"](spark, str(tmp_path)).select("doc_id", "line").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(registry.ORACLE_SQL["answer_lines"]).fetchall(), key=str)
+    texts = [t for t in starts if t is not None]
+    lines = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.answer_line("t")).collect()]
+    assert lines == [answer_line(t) for t in texts] == ["44.144.126.223 x", "3.5 mg a litre", "x", "2) x", "x", "x", "", "x 1. y"]
+
+
 def test_section_chunks(spark):
     from paperlode.operators.chunking import chunk
     from paperlode.sources.markdown import page_blocks
