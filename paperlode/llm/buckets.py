@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, whole_groups
@@ -50,13 +50,15 @@ def column(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)
 
 
-def dealt(filed: DataFrame, member: str, kind: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """key, cell, part and the other columns: members in the cells of their buckets, each bucket's cells together and in order."""
+def dealt(filed: DataFrame, member: str | list[str], kind: str | None = None, limit: int = LIMIT, parts: Column | None = None) -> DataFrame:
+    """key, cell, part and the other columns: members in the cells of their buckets, each bucket's cells together and in order.
+    parts: how many a bucket is cut into, an aggregate (of `limit` members each, if it is left out)."""
     names = [c for c in filed.columns if c != "key"]
-    big = filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    big = staged(big.select(F.col("key").alias("_k"), F.ceil(F.col("n") / limit).cast("int").alias("parts")), "big-buckets")
+    parts = F.ceil(F.count("*") / limit) if parts is None else parts
+    big = filed.groupBy(F.col("key").alias("_k")).agg(parts.cast("int").alias("parts")).where("parts > 1")
+    big = staged(big, "big-buckets")
     parts = F.coalesce("parts", F.lit(1))
-    rows = filed.join(big, F.col("key") == F.col("_k"), "left").withColumn("part", F.pmod(F.xxhash64(member), parts).cast("int"))
+    rows = filed.join(big, F.col("key") == F.col("_k"), "left").withColumn("part", F.pmod(F.xxhash64(*([member] if isinstance(member, str) else member)), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     low, high = F.least("part", "other").cast("long"), F.greatest("part", "other").cast("long")
     return rows.select("key", (low * (1 << 31) + high).alias("cell"), "part", *names).repartition("key", "cell").sortWithinPartitions("key", "cell", *([kind] if kind else []))
@@ -81,6 +83,47 @@ def compared(filed: DataFrame, keep: Callable[[dict, np.ndarray, np.ndarray], np
     return dealt(filed, member, kind, limit).mapInArrow(found, "a long, b long")
 
 
+def chained(filed: DataFrame, keep: Callable[[dict, np.ndarray, np.ndarray], np.ndarray], kind: str, member: str | list[str], limit: int = LIMIT, parts: Column | None = None, sure: Callable[[dict, int, int], bool] | None = None, whole: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a < b) of kinds (long) that connect what all pairs of members of one key with keep(columns, i, j) connect, and
+    sure(columns, i, j) where that is given. Every pair of members is tried unless its kinds are connected already, and only
+    what connects more is returned, so a task's rows are fewer than its members. member: columns by whose hash a bucket is
+    cut. whole: columns that come as lists."""
+
+    def found(batches):
+        for t in whole_groups(batches, "key", "cell"):
+            c = {n: t.column(n).to_pylist() if n in whole else column(t.column(n).combine_chunks()) for n in t.column_names}
+            new = np.concatenate([[True], (c["key"][1:] != c["key"][:-1]) | (c["cell"][1:] != c["cell"][:-1])])
+            split = (c["cell"] >> 31) != (c["cell"] & 0x7FFFFFFF)
+            names, at = np.unique(c[kind], return_inverse=True)
+            up, edges = np.arange(len(names)), []
+
+            def top(x):
+                while up[x] != x:  # noqa: B023
+                    up[x] = x = up[up[x]]  # noqa: B023
+                return x
+
+            for i, j in pairs_of(np.cumsum(new), c[kind]):
+                open_ = (up[at[i]] != up[at[j]]) & ~(split[i] & (c["part"][i] == c["part"][j]))  # a pair of one part meets in its own cell
+                i, j = i[open_], j[open_]
+                good = keep(c, i, j)
+                i, j = i[good], j[good]
+                if sure is None:
+                    once = np.unique(at[i] * len(names) + at[j], return_index=True)[1]
+                    i, j = i[once], j[once]
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    a, b = top(at[x]), top(at[y])
+                    if a != b and (sure is None or sure(c, x, y)):
+                        up[max(a, b)] = min(a, b)
+                        edges.append((at[x], at[y]))
+                while not np.array_equal(up, up[up]):
+                    up = up[up]
+            if edges:
+                ends = names[np.array(edges)]
+                yield _pairs(ends[:, 0], ends[:, 1])
+
+    return dealt(filed, member, kind, limit, parts).mapInArrow(found, "a long, b long")
+
+
 def starred(filed: DataFrame, bits: list[str], keep: Callable[[dict, np.ndarray, np.ndarray], np.ndarray], member: str, limit: int = LIMIT) -> DataFrame:
     """Pairs (a < b) of each member of a key with the key's middle, where keep() holds: the member whose bits (long columns)
     differ least from what most members have. Of a bucket of over `limit` members each part has a middle of its own."""

@@ -26,8 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import compared, differing, starred
-from .common import discard, map_rows, staged, text_bytes
+from .buckets import LIMIT, chained, differing, starred
+from .common import discard, map_rows, sieve, sifted, staged, text_bytes
 from .components import components
 
 BITS, BLOCKS, WIDTH, SEED, CROWDED = 4, 6, 4, 42, 4096
@@ -129,6 +129,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 MISS, SPREAD, FIRST = 1e-2, 4, 8
 #: Bits of a fingerprint that are compared within a block before the whole.
 SKETCH = 256
+#: Texts that are compared themselves are dealt in parts of so many, into so many parts before parts grow, and so many bytes.
+PART, PARTS, PART_BYTES = 512, 16, 8 << 20
 
 
 def differing_share(similarity: float) -> float:
@@ -186,7 +188,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     """Of pairs (a, b) of nodes those whose shingle sets are alike, staged. texts: part, text; only those of the pairs go on."""
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = staged(ids.join(nodes.select("node", "part"), "node"), "near-ids")
-    need = staged(texts.join(ids, "part").dropDuplicates(["part"]).select("node", "text"), "near-texts")
+    some = sifted(texts, "part", sieve(ids.select("part")))
+    need = staged(some.join(ids, "part").dropDuplicates(["part"]).select("node", "text"), "near-texts")
 
     def make():
         held: dict[bytes, np.ndarray] = {}
@@ -211,15 +214,47 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: f
     return out
 
 
+def joined(members: DataFrame, texts: DataFrame, similarity: float, width: int, most: int) -> DataFrame:
+    """From key, node, root, part, size and fp: pairs (a, b) of roots that join all roots whose members, of one key, are alike,
+    staged. Texts (part, text) come once to each cell of a key, where the sets themselves are compared."""
+    ids = staged(members.select("key", "root", "size", "fp", "part"), "near-ids")
+    some = sifted(texts, "part", sieve(ids.select("part")))
+    need = staged(some.join(ids, "part").dropDuplicates(["part"]).select("key", "root", "size", "fp", "text"), "near-texts")
+
+    def near(c, i, j):
+        x, y = c["size"][i], c["size"][j]
+        good = np.flatnonzero(np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(good), 1 << 16):
+            k = good[at : at + (1 << 16)]
+            out[k] = differing(c["fp"][i[k]], c["fp"][j[k]]) <= most
+        return out
+
+    def sure(c, i, j):
+        held = c.setdefault("_sets", {})
+        for k in (i, j):
+            if k not in held:
+                held[k] = shingle_set(c["text"][k], width)
+        return alike(held[i], held[j], similarity)
+
+    n, size = F.count("*"), F.sum(F.octet_length("text"))
+    parts = F.greatest(F.least(F.ceil(n / PART), F.lit(PARTS)), F.ceil(n / LIMIT), F.ceil(size / PART_BYTES))
+    out = staged(chained(need, near, "root", "fp", parts=parts, sure=sure, whole=("text",)), "near-links")
+    discard(need)
+    discard(ids)
+    return out
+
+
 def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
     """doc_id, part (a hash of the text), root: one row for each row; rows share a root if links of this Jaccard similarity
     join their shingle sets.
 
     A node is a distinct shingle set, whatever ids its rows have. Its SimHash is wide enough for so many blocks that a pair at
     the similarity shares one but for `miss`. In the first blocks each member of a value is tried with the middle one there,
-    which makes the copies of a text one component at a cost that grows with their number; then all blocks propose every
-    pair of different components. A proposed pair's Hamming distance is checked, then the sets themselves, so that every link
-    is a true one. Null and empty texts are one node.
+    which makes the copies of a text one component at a cost that grows with their number. Then in all blocks every pair of
+    different components is tried by its sketch, and what connects components by sketches makes ranges of them, a row for
+    each step and not for each pair. Within a range every pair of different components is tried by its Hamming distance,
+    then by the sets themselves, so that every link is a true one. Null and empty texts are one node.
     """
     blocks, bits = wide_shape(df.count(), similarity, miss)
     words = -(-blocks * bits // 64)
@@ -292,12 +327,14 @@ def groups(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str =
     sure = verified(star, nodes, texts, similarity, width)
     known = components(sure).withColumnRenamed("node", "_n")
 
-    rooted = nodes.join(known, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "size", "fp")
+    rooted = nodes.join(known, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("root", "node").alias("root"), "part", F.col("size").cast("int").alias("size"), "fp")
     rooted = staged(rooted, "near-rooted")
-    entries = filed(rooted, blocks).select("key", "node", "root", "size", *halves)
-    more = staged(compared(entries, near, "node", "root").distinct(), "near-proposed")
-    more = closer(more)
-    roots = components(sure.unionByName(verified(more, nodes, texts, similarity, width))).withColumnRenamed("node", "_n")
+    entries = filed(rooted.select("root", "size", "fp"), blocks).select("key", "root", "size", *halves)
+    ranges = components(chained(entries, near, "root", [f"s{k}" for k in range(SKETCH // 64)]))
+    ranges = ranges.unionByName(ranges.select(F.col("root").alias("node"), "root").distinct())  # the least of each, too
+    members = rooted.join(ranges.select(F.col("node").alias("root"), F.col("root").alias("key")), "root")
+    more = joined(members, texts, similarity, width, most)
+    roots = components(sure.unionByName(more)).withColumnRenamed("node", "_n")
     return docs.select("doc_id", "part", "node").join(roots, F.col("node") == F.col("_n"), "left").select("doc_id", "part", F.coalesce("root", "node").alias("root"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, mixing, secrets as scans, simhash
 from . import quality as classifier
-from .common import staged
+from .common import sieve, sifted, staged
 
 #: Documents that score lower than this are rejected (the classifier's even odds).
 QUALITY = 0.5
@@ -33,15 +33,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of every group of near duplicates: the one of least id (null last), then of least text hash. Rows count by
     their texts: rows that share an id (null as well) and differ in text are different documents. All texts without words are
     one group; of rows equal in id and text one stays."""
-    rows = simhash.groups(docs, SIMILARITY, SHINGLE).groupBy("root", "doc_id", "part").agg(F.count("*").alias("n"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part", "n")).alias("m"))
-    best = staged(best.select(F.col("m.doc_id").alias("_id"), F.col("m.part").alias("_best"), F.col("m.n").alias("_n")), "near-best")
-    docs = docs.select(*COLUMNS)
-    parted = docs.withColumn("_part", F.xxhash64(F.col("text").cast("binary")))
+    rows = staged(simhash.groups(docs, SIMILARITY, SHINGLE).groupBy("root", "doc_id", "part").agg(F.count("*").alias("n")), "near-rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part")).alias("m"), F.sum("n").alias("all"))
+    best = staged(best.select(F.col("root").alias("_root"), F.col("m.doc_id").alias("_id"), F.col("m.part").alias("_best"), "all"), "near-best")
+    grouped = staged(rows.join(best.where("all > 1"), F.col("root") == F.col("_root"), "left_semi").select("part").distinct(), "near-grouped")
+    some = sieve(grouped)  # rows outside it are groups of their own, and stay where they are
+    parted = docs.select(*COLUMNS).withColumn("_part", F.xxhash64(F.col("text").cast("binary")))
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_part") == F.col("_best"))
-    once = parted.join(best.where("_n = 1"), here, "left_semi")
-    again = parted.join(best.where("_n > 1"), here, "left_semi").dropDuplicates(["doc_id", "_part"])
-    return once.unionByName(again).drop("_part")
+    kept = sifted(parted, "_part", some).join(best, here, "left_semi").dropDuplicates(["doc_id", "_part"])
+    return sifted(parted, "_part", some, inside=False).unionByName(kept).drop("_part")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

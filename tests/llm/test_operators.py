@@ -326,6 +326,76 @@ def test_embeddings_in_a_crowd(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_chained_connects_like_all_pairs_in_few_rows(spark):
+    """Kinds that any pair connects end up connected, whatever the cells; the rows stay below the members, the pairs do not."""
+    from paperlode.llm import buckets
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(m), int(g), f"t{m}") for k, m, g in zip(rng.integers(0, 5, 900), range(900), rng.integers(0, 400, 900), strict=True)]
+    df = spark.createDataFrame(rows, "key long, m long, kind long, t string")
+    near = lambda a, b: (a + b) % 7 == 0
+    pairs = [(x, y) for x in rows for y in rows if x[1] < y[1] and x[0] == y[0] and x[2] != y[2] and near(x[1], y[1])]
+
+    def classes(edges):
+        up = {r[2]: r[2] for r in rows}
+        for a, b in edges:
+            a, b = (next(iter(v for v in [up[x]])) for x in (a, b))
+            up = {k: min(a, b) if v in (a, b) else v for k, v in up.items()}
+        return up
+
+    want = classes([(x[2], y[2]) for x, y in pairs])
+    for limit in (4096, 60):
+        got = buckets.chained(df, lambda c, i, j: near(c["m"][i], c["m"][j]), "kind", "m", limit).collect()
+        assert classes(map(tuple, got)) == want and len(got) < 900 * 7 < len(pairs)
+        sure = lambda c, i, j: (int(c["t"][i][1:]) + int(c["t"][j][1:])) % 7 == 0
+        got = buckets.chained(df, lambda c, i, j: np.ones(len(i), bool), "kind", "m", limit, sure=sure, whole=("t",)).collect()
+        assert classes(map(tuple, got)) == want
+
+
+def test_a_sieve_parts_rows(spark):
+    from paperlode.llm import common
+
+    rows = spark.range(60_000).select(F.xxhash64("id").alias("h"), "id", F.lit("x").alias("text"))
+    for some in (rows.where("id % 3 = 0"), rows.where("id < 0")):
+        by = common.sieve(some.select("h"))
+        inside, outside = common.sifted(rows, "h", by), common.sifted(rows, "h", by, inside=False)
+        want = {r[0] for r in some.select("id").collect()}
+        got = {r[0] for r in inside.select("id").collect()}
+        assert want <= got and len(got) < len(want) + 600
+        assert {r[0] for r in outside.select("id").collect()} == set(range(60_000)) - got
+
+
+def test_a_spread_group_is_compared_in_few_rows(spark, monkeypatch):
+    """A group from alike to not alike: classes of brute-force Jaccard, and the rows that comparing returns stay below its members."""
+    from paperlode.llm import simhash
+
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for n in range(300):
+        words = list(base)
+        for k in rng.choice(200, int(rng.integers(0, 14)), replace=False):
+            words[k] = f"n{n}_{k}"
+        texts.append(" ".join(words))
+    counts, real = [], simhash.chained
+
+    def counted(*args, **named):
+        out = real(*args, **named)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "chained", counted)
+    got = dict(simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    up = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if up[i] != up[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    assert [got[i] for i in range(300)] == up and 1 < len(set(up)) < 300
+    assert len(counts) == 2 and all(0 < n < 20 * 300 for n in counts)
+
+
 def test_members_of_a_bucket_are_all_compared(spark):
     rows = [(k, m) for k, n in ((1, 30), (2, 1), (3, 7), (4, 64)) for m in range(n)]
     df = spark.createDataFrame(rows, "key long, m long")
