@@ -25,8 +25,9 @@ def embedder(conf: Settings):
     return EmbeddingClient(conf.embedding_url, conf.embedding_key, conf.embedding_model, conf.embedding_dimensions, conf.embedding_batch) if conf.embedding_url else HashEmbedder(conf.embedding_dimensions)
 
 
-def waiting(message: str, work: Callable[[], Any], out: TextIO = sys.stdout) -> Any:
-    """Runs `work`; on a terminal a sign turns meanwhile."""
+def waiting(message: str, work: Callable[[], Any], out: TextIO | None = None) -> Any:
+    """Runs `work`; on a terminal (standard output, as it is now) a sign turns meanwhile."""
+    out = out or sys.stdout
     if not out.isatty():
         return work()
     done = threading.Event()

@@ -91,3 +91,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*at, "search", "crystals", "--mode", "keyword"], spark) == 0 and "A Paper about" in capsys.readouterr().out
     assert main([*at, "delete", "none.md"], spark) == 1 and "no document" in capsys.readouterr().err
     assert main([*at, "delete", "a.md"], spark) == 0
+
+
+def test_waiting_writes_to_the_output_of_the_moment(monkeypatch):
+    import io
+    import sys
+    import time
+
+    from paperlode.cli import waiting
+
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    shown = Terminal()
+    monkeypatch.setattr(sys, "stdout", shown)
+    assert waiting("reading", lambda: time.sleep(0.3) or 7) == 7 and "reading..." in shown.getvalue()
